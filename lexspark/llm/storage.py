@@ -1,0 +1,40 @@
+"""Intermediate tables in the folder that all machines of the cluster share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only if that is unset (a local run), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="lexspark-")
+        atexit.register(shutil.rmtree, _own["dir"], True)
+    return f"file://{_own['dir']}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.lexspark_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that kept() wrote and that no plan still reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.lexspark_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
