@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexspark.llm import oracles
+from lexspark.llm.decontam import decontaminate
+from lexspark.llm.neardup import near_duplicates
 from lexspark.llm.packing import pack
 from lexspark.llm.repetition import repetition_rules
+from lexspark.llm.substring import substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,13 +20,25 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20).drop("k")
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op2_packing": op2_packing, "op6_repetition": op6_repetition}
+    return {f.__name__: f for f in (op2_packing, op3_minhash, op5_substring, op6_repetition, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring": oracles.SUBSTRING, "op10_decontamination": oracles.DECONTAMINATION}
