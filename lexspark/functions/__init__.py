@@ -1 +1 @@
-"""functions."""
+"""Column functions: words, URLs, HTML, text analysis."""

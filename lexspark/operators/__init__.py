@@ -1 +1 @@
-"""operators."""
+"""Operators over DataFrames: index, search, corpus statistics, evaluation, repository."""

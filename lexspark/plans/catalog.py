@@ -1,11 +1,532 @@
-"""All queries of the retrieval library by name, and the SQL that gives the same rows."""
+"""All queries of the retrieval library by name, over the test tables."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspark.functions import html as H
+from lexspark.functions import text as X
+from lexspark.functions import urls as U
+from lexspark.functions.analysis import BASIC, FULL, STOP, Policy, analyze, fold, normalize_dates, normalize_numbers
+from lexspark.operators import corpus, evaluation, repository
+from lexspark.operators import index as I
+from lexspark.operators import search as S
+from lexspark.plans import cases, oracles
+from lexspark.sources import crawl_log, fetch, seeds
+from lexspark.streaming import progress as P
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+TOPIC = ["stupid", "trash", "worth-less", "of the"]
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf):
+    return table(spark, sf, "documents")
+
+
+def meta(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.lower("source").alias("site"), F.col("lang").alias("language"), F.col("source"))
+
+
+def needs(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def ask(spark, sf, text: str, k: int = 10) -> DataFrame:
+    docs = documents(spark, sf)
+    return S.search(I.build(docs), text, docs, meta(docs), k).drop("query_id")
+
+
+# --- index
+
+
+@query
+def index_postings(spark, sf):
+    return I.term_frequencies(I.indexable(documents(spark, sf)))
+
+
+@query
+def index_vocab(spark, sf):
+    return I.build(documents(spark, sf)).vocab.withColumn("idf", F.round("idf", 9))
+
+
+@query
+def index_docs(spark, sf):
+    return I.build(documents(spark, sf)).docs.withColumn("norm", F.round("norm", 6))
+
+
+@query
+def index_stats(spark, sf):
+    return I.statistics(I.build(documents(spark, sf)))
+
+
+@query
+def index_varbyte_bytes(spark, sf):
+    return I.posting_bytes(I.term_frequencies(I.indexable(documents(spark, sf)))).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("terms"))
+
+
+@query
+def index_vocab_stop(spark, sf):
+    return I.vocabulary(I.term_frequencies(I.indexable(documents(spark, sf)), STOP), 1).select("term", "df", "cf")
+
+
+@query
+def index_vocab_stems(spark, sf):
+    return I.vocabulary(I.term_frequencies(I.indexable(documents(spark, sf)), FULL), 1).select("term", "df", "cf")
+
+
+@query
+def vocab_compare(spark, sf):
+    docs = I.indexable(documents(spark, sf))
+    first = I.vocabulary(I.term_frequencies(docs), 1)
+    second = corpus.word_frequencies(docs).select(F.col("word").alias("term"), F.col("freq").alias("df"), F.col("freq").alias("cf"))
+    return I.compare_vocabularies(first, second)
+
+
+@query
+def top_terms(spark, sf):
+    return I.top_terms(I.vocabulary(I.term_frequencies(I.indexable(documents(spark, sf))), 1), 40).select("term", "df", "cf")
+
+
+@query
+def dates_numbers(spark, sf):
+    rows = cases.inline(spark, cases.DATES, "id int, text string, expected string")
+    return rows.select("id", normalize_numbers(normalize_dates(F.col("text"))).alias("result"))
+
+
+@query
+def analyze_full(spark, sf):
+    rows = cases.inline(spark, cases.TERMS, "id int, text string, expected string")
+    return rows.select("id", F.array_join(analyze(F.col("text"), FULL), " ").alias("result"))
+
+
+@query
+def analyze_phrases(spark, sf):
+    rows = cases.inline(spark, cases.PHRASES, "id int, text string, expected string")
+    return rows.select("id", F.array_join(analyze(F.col("text"), Policy("phrases", names=True, thesaurus=True)), " ").alias("result"))
+
+
+@query
+def fold_letters(spark, sf):
+    words = documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).alias("w"))
+    return words.select(fold(F.lower("w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def repair_encoding(spark, sf):
+    rows = cases.inline(spark, cases.REPAIRS, "id int, text string, expected string")
+    return rows.select("id", X.repair_encoding("text").alias("result"))
+
+
+# --- search
+
+
+@query
+def search_cosine(spark, sf):
+    return S.search_batch(I.build(documents(spark, sf)), needs(spark, sf))
+
+
+@query
+def search_classic(spark, sf):
+    return S.classic(I.build(documents(spark, sf)), needs(spark, sf))
+
+
+@query
+def search_required_excluded(spark, sf):
+    return ask(spark, sf, "stupid +trash -worthless")
+
+
+@query
+def search_site_lang(spark, sf):
+    return ask(spark, sf, "stupid trash site:src3 site:src5 site:src6 -site:src6 idioma:en")
+
+
+@query
+def search_filter_only(spark, sf):
+    return ask(spark, sf, "fuente:src4 idioma:de", k=20)
+
+
+@query
+def search_prefix(spark, sf):
+    return ask(spark, sf, "worthl* -stup*")
+
+
+@query
+def search_phrase(spark, sf):
+    return ask(spark, sf, '"all rights reserved"', k=20)
+
+
+@query
+def search_unknown_term(spark, sf):
+    return ask(spark, sf, "stupid zzzznowhere")
+
+
+def judged(spark, sf) -> tuple[list[int], list[int]]:
+    labels = table(spark, sf, "labels")
+    good = [r[0] for r in labels.where("toxic = 1 AND quality = 1").orderBy("doc_id").limit(3).select("doc_id").collect()]
+    bad = [r[0] for r in labels.where("quality = 0").orderBy("doc_id").limit(3).select("doc_id").collect()]
+    return good, bad
+
+
+@query
+def search_rocchio(spark, sf):
+    good, bad = judged(spark, sf)
+    return S.rocchio(I.build(documents(spark, sf)), "stupid trash", good, bad).drop("query_id").withColumn("score", F.round("score", 7))
+
+
+@query
+def rocchio_terms(spark, sf):
+    good, bad = judged(spark, sf)
+    return S.feedback_terms(I.build(documents(spark, sf)), "stupid trash", good, bad).select("term", F.round("w", 9).alias("w"), "known")
+
+
+@query
+def suggest(spark, sf):
+    words = cases.inline(spark, [("stupidd",), ("trsah",), ("worthles",), ("thee",), ("stupid",), ("qqqqqqqq",)], "word string")
+    return S.suggest(words, I.build(documents(spark, sf)).vocab, BASIC)
+
+
+@query
+def snippet(spark, sf):
+    docs = documents(spark, sf)
+    return S.snippets(docs.where(F.contains("text", F.lit("All rights reserved"))), ["rights", "reserved"], BASIC)
+
+
+# --- corpus
+
+
+@query
+def zipf_rank(spark, sf):
+    return corpus.ranked(corpus.word_frequencies(documents(spark, sf)), 1000)
+
+
+@query
+def top_words_nostop(spark, sf):
+    freq = corpus.word_frequencies(documents(spark, sf))
+    return freq.where(~corpus.report_stopword(F.col("word"))).orderBy(F.desc("freq"), "word").limit(50)
+
+
+@query
+def corpus_totals(spark, sf):
+    docs = documents(spark, sf)
+    return corpus.totals(docs, corpus.word_frequencies(docs))
+
+
+@query
+def corpus_by_source_lang(spark, sf):
+    return corpus.grouped(documents(spark, sf), {"source": F.col("source"), "lang": F.col("lang")})
+
+
+@query
+def corpus_by_domain(spark, sf):
+    pages = table(spark, sf, "pages").select(U.domain(F.col("url")).alias("domain"), F.octet_length("html").alias("bytes"))
+    return corpus.largest(pages, "domain", 15)
+
+
+@query
+def progress_by_source(spark, sf):
+    events = table(spark, sf, "events")
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    pages = events.select(F.col("event_type").alias("source"), F.col("ts").alias("fetched_at"), F.col("user_id").alias("bytes"))
+    return corpus.progress(pages, F.lit(now.first()["now"]))
+
+
+@query
+def thin_content(spark, sf):
+    return corpus.thin(documents(spark, sf)).select("doc_id", "words")
+
+
+# --- text
+
+
+@query
+def lang_detect(spark, sf):
+    return documents(spark, sf).select("doc_id", X.detect_language(F.col("text")).alias("language"))
+
+
+@query
+def topical_score(spark, sf):
+    rows = documents(spark, sf).select("doc_id", X.topical_score(F.col("text"), TOPIC).alias("s"))
+    return rows.select("doc_id", "s.hits", F.round("s.density", 9).alias("density"), X.is_topical(F.col("s")).alias("topical"))
+
+
+@query
+def content_dedup(spark, sf):
+    rows = documents(spark, sf).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return rows.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query
+def word_counts(spark, sf):
+    return documents(spark, sf).select("doc_id", X.word_count(F.col("text")).alias("words"), F.octet_length("text").alias("bytes"))
+
+
+# --- URLs and pages
+
+
+@query
+def url_cases(spark, sf):
+    rows = cases.inline(spark, cases.URLS, "id int, url string, expected string, reason string")
+    return rows.select("id", U.normalize_url(F.col("url")).alias("normalized"), U.denied(F.col("url")).alias("reason"))
+
+
+@query
+def url_normalize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.normalize_url(F.col("url")).alias("url"), U.canonical_url(F.col("url")).alias("canonical"), U.domain(F.col("url")).alias("domain"))
+
+
+@query
+def url_denied(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.denied(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, "?oldid=7").otherwise(""))).alias("reason"))
+
+
+@query
+def url_host_rules(spark, sf):
+    rows = seeds.clean_seeds(cases.inline(spark, cases.SEEDS, ", ".join(f"{c} string" for c in seeds.COLUMNS)))
+    return U.host_rules(rows).withColumn("prefixes", F.array_join("prefixes", " "))
+
+
+@query
+def url_scope(spark, sf):
+    rules = cases.inline(spark, [("spam-farm.example.org", "domain", []), ("blog.ththan.example.net", "prefix", ["/en/"]), ("ththed.example.org", "topical", [])], "host string, mode string, prefixes array<string>")
+    links = table(spark, sf, "pages").select("page_id", "url", F.lit("anchor").alias("anchor"), (F.col("page_id") % 2 == 0).alias("parent_topical"))
+    return U.in_scope(links, rules, ["utm_source"]).select("page_id", "ok", "reason")
+
+
+@query
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", H.title(F.col("html")).alias("title"))
+
+
+@query
+def html_links(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", H.extract_page("html", "url").alias("p"))
+    return rows.select("page_id", F.posexplode("p.links").alias("place", "link")).select("page_id", "place", "link.url", "link.anchor")
+
+
+@query
+def html_text(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", H.extract_page("html", "url").alias("p"))
+    return rows.select("page_id", "p.title", F.length("p.text").alias("chars"), X.detect_language(F.col("p.text")).alias("language"))
+
+
+@query
+def fetch_pages(spark, sf):
+    def get(url: str) -> dict:  # stands for a network: no page of the table is looked up
+        if len(url) % 7 == 0:
+            raise TimeoutError(url)
+        return {"status_code": 200 if len(url) % 5 else 404, "content_type": "text/html; charset=utf-8", "body": url.encode()}
+
+    return fetch.fetch(table(spark, sf, "pages"), get).select("url", "status_code", "body", "truncated", "error")
+
+
+@query
+def robots(spark, sf):
+    rules = cases.inline(spark, [("spam-farm.example.org", "/", False), ("spam-farm.example.org", "/en/", True), ("ththed.example.org", "/en/", False)], "site string, path string, allow boolean")
+    urls = table(spark, sf, "pages").select("page_id", U.host(F.col("url")).alias("site"), U.path(F.col("url")).alias("path"))
+    return fetch.robots_allowed(urls, rules).select("page_id")
+
+
+# --- repository and frontier
+
+
+def arrivals(spark, sf) -> DataFrame:
+    return documents(spark, sf).select(F.col("doc_id").alias("seq"), F.concat(F.lit("u"), F.col("doc_id") % 700).alias("url"), X.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query
+def save_outcomes(spark, sf):
+    return repository.save_outcomes(arrivals(spark, sf)).select("seq", "url", "outcome")
+
+
+@query
+def page_decision(spark, sf):
+    docs = documents(spark, sf)
+    rows = repository.page_decision(docs, F.when(F.col("doc_id") % 2 == 0, "topical").otherwise("domain"), F.col("doc_id") % 3, TOPIC)
+    return rows.select("doc_id", "hits", "topical", "reason", "saved")
+
+
+def tasks(spark, sf) -> DataFrame:
+    url = F.concat(F.lit("https://h"), F.col("o_custkey") % 50, F.lit(".example.org/"), F.col("o_orderkey") % 9000)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), url.alias("url"), (F.col("o_orderkey") % 8).cast("int").alias("depth"))
+
+
+def empty_frontier(spark) -> DataFrame:
+    return cases.inline(spark, [("https://h1.example.org/1", "h1.example.org", "done"), ("https://h2.example.org/2", "h2.example.org", "pending")], "url string, domain string, status string")
+
+
+@query
+def domain_cap(spark, sf):
+    return repository.enqueue(empty_frontier(spark), tasks(spark, sf), max_depth=6, per_domain=100).select("url", "domain", "depth", "seq")
+
+
+@query
+def frontier_claim(spark, sf):
+    rows = repository.enqueue(empty_frontier(spark), tasks(spark, sf))
+    return repository.claim(rows, 20).select("domain", "place", "url")
+
+
+@query
+def frontier_counts(spark, sf):
+    return repository.domain_counts(repository.enqueue(empty_frontier(spark), tasks(spark, sf)))
+
+
+@query
+def fail_islands(spark, sf):
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("domain"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") != "F").alias("failed"))
+    return repository.failure_runs(orders, 8)
+
+
+@query
+def fetch_outcomes(spark, sf):
+    codes = F.element_at(F.array(*map(F.lit, (200, 404, 403, 429, 503, 500, 204))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        codes.alias("status_code"),
+        F.when(F.col("o_orderkey") % 11 == 0, "timeout").alias("error"),
+        (F.col("o_orderkey") % 5 > 0).alias("has_body"),
+        (F.col("o_orderkey") % 3).cast("int").alias("attempts"),
+        F.when(F.col("o_orderkey") % 13 == 0, F.lit(12.5)).alias("retry_after"),
+    )
+    return repository.fetch_outcome(rows).select("id", "new_status", "reason", "success", "wait")
+
+
+@query
+def stale_pages(spark, sf):
+    events = table(spark, sf, "events").select("event_id", F.col("ts").alias("fetched_at"))
+    now = events.agg(F.max("fetched_at").alias("now")).first()["now"]
+    return repository.stale(events, F.lit(now), 7).select("event_id")
+
+
+@query
+def log_recovery(spark, sf):
+    lines = [("x LINKS url=https://a.example.org/1 total=8 in_scope=5 enqueued=0",), ("x LINKS url=https://a.example.org/2 total=8 in_scope=5 enqueued=5",), ("x LINKS url=https://b.example.org/3 total=8 in_scope=5 enqueued=2",), ("y SKIP_THIN_CONTENT url=https://a.example.org/1 depth=2 words=0",), ("y SKIP_THIN_CONTENT url=https://a.example.org/1 depth=3 words=0",)]
+    rows = cases.inline(spark, lines, "value string")
+    return crawl_log.omitted_links(rows).join(crawl_log.thin_pages(rows), "url", "left")
+
+
+# --- evaluation and usage
+
+
+def relations(spark, sf):
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
+    return cases.runs(docs), cases.shown(docs), cases.judgements(labels)
+
+
+@query
+def metrics_runs(spark, sf):
+    return evaluation.run_metrics(*relations(spark, sf)).drop("index_name", "judge", "need")
+
+
+@query
+def metrics_summary(spark, sf):
+    return evaluation.summaries(evaluation.run_metrics(*relations(spark, sf)))
+
+
+@query
+def metrics_pool(spark, sf):
+    runs, _, judgements = relations(spark, sf)
+    return evaluation.pool(runs, judgements)
+
+
+@query
+def pk_curve(spark, sf):
+    return evaluation.precision_curve(*relations(spark, sf))
+
+
+@query
+def interp_precision(spark, sf):
+    return evaluation.interpolated_precision(*relations(spark, sf))
+
+
+@query
+def kappa(spark, sf):
+    runs, _, judgements = relations(spark, sf)
+    return evaluation.kappa(runs, judgements)
+
+
+@query
+def feedback_pages(spark, sf):
+    runs, _, judgements = relations(spark, sf)
+    return evaluation.feedback_pages(runs, judgements, "query 3")
+
+
+@query
+def grade_counts(spark, sf):
+    return evaluation.grades(cases.judgements(table(spark, sf, "labels")))
+
+
+def query_log(spark, sf) -> tuple[DataFrame, DataFrame]:
+    events = table(spark, sf, "events")
+    q = events.where("event_type = 'view'").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("session"), F.concat(F.lit(" Q"), F.col("user_id") % 20).alias("query"), (F.col("event_id") % 7).alias("total"), F.col("value").alias("ms"))
+    c = events.where("event_type = 'click'").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 10 + 1).alias("rank"))
+    return q, c
+
+
+@query
+def usage_latency(spark, sf):
+    return evaluation.usage(*query_log(spark, sf))
+
+
+@query
+def usage_by_day(spark, sf):
+    return evaluation.usage_by_day(query_log(spark, sf)[0]).withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def usage_ctr(spark, sf):
+    return evaluation.clicks_by_rank(query_log(spark, sf)[1])
+
+
+@query
+def usage_top_queries(spark, sf):
+    return evaluation.top_queries(query_log(spark, sf)[0])
+
+
+# --- streams
+
+
+def streamed(spark, sf, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """What a streaming plan over the events table yields once all of it was read."""
+    schema = table(spark, sf, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    name = f"s{uuid.uuid4().hex}"
+    run = plan(rows).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query
+def stream_total(spark, sf):
+    return streamed(spark, sf, lambda e: P.running_total(e.select(F.col("event_type").alias("source"), F.col("user_id").alias("bytes"))), "complete")
+
+
+@query
+def stream_windows(spark, sf):
+    out = streamed(spark, sf, lambda e: P.look_back(e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), F.col("user_id").alias("bytes")), "2 days", "1 day", "1 day"), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "source", "pages", "bytes")
+
+
+@query
+def stream_once(spark, sf):
+    return streamed(spark, sf, lambda e: P.once(e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id")).alias("url")), "400 days").select("url"), "append")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in QUERIES}

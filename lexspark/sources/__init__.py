@@ -1 +1 @@
-"""sources."""
+"""Sources and sinks: seeds, crawl logs, fetched pages, exports."""

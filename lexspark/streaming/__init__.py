@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: progress, totals, deduplication, frontier."""
