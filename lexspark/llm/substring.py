@@ -26,11 +26,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.storage import kept
-from lexspark.llm.words import GRAM, DocBatch, later, map_texts, mix, within
+from lexspark.llm.words import GRAM, SLICE_BYTES, DocBatch, later, map_texts, mix, sliced, within
 
 ANCHOR = 6
 FIRST = -(2**63)
@@ -78,9 +79,26 @@ def _runs(mask_or_keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def shrunk(df: DataFrame) -> DataFrame:
+    """The rows with their text as compressed bytes: what the joins below move."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1)
+        body = pa.array([None if t is None else pack.compress(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), part.column("k"), body], ["doc_id", "d", "k", "body"])
+
+    return map_texts(df.select("doc_id", "d", "k", "text"), one, f"doc_id {kind}, d long, k long, body binary")
+
+
+def texts_of(bodies: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([None if b is None else unpack.decompress(b) for b in bodies.to_pylist()], pa.binary()).cast(pa.string())
+
+
 BLOCK = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("windows", pa.binary())])
 SPAN = pa.struct([("start", pa.int32()), ("n", pa.int32())])
-PARSED = "doc_id {kind}, d long, k long, n_words long, text string, sha string, own array<struct<start:int,n:int>>, blocks array<struct<start:int,n:int,anchor:bigint,content:bigint,windows:binary>>"
+PARSED = "doc_id {kind}, d long, k long, n_words long, body binary, sha string, own array<struct<start:int,n:int>>, blocks array<struct<start:int,n:int,anchor:bigint,content:bigint,windows:binary>>"
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
@@ -92,7 +110,8 @@ def parse(df: DataFrame, window: int) -> DataFrame:
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column("text")
+        bodies = part.column("body")
+        texts = texts_of(bodies)
         batch = DocBatch.of(texts)
         starts, low = window_minima(batch, window)
         _, windows = batch.grams(window)
@@ -124,12 +143,16 @@ def parse(df: DataFrame, window: int) -> DataFrame:
         fields = [pa.array(place[s][s_start], pa.int32()), pa.array(n, pa.int32()), pa.array(low[s][s_start].view(np.int64)), pa.array(content.view(np.int64)), pa.array([raw[8 * a : 8 * (a + m)] for a, m in zip(s_start, n, strict=True)], pa.binary())]
         block_list = _lists(np.bincount(doc[s][s_start], minlength=batch.n_docs), pa.StructArray.from_arrays(fields, fields=list(BLOCK)))
 
-        strings = texts.to_pylist()
-        sha = [None if o else digest(t, None)[1] for t, o in zip(strings, open_, strict=True)]
-        text = [t if o else None for t, o in zip(strings, open_, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), part.column("k"), pa.array(batch.n_words), pa.array(text, pa.string()), pa.array(sha, pa.string()), own_list, block_list], ["doc_id", "d", "k", "n_words", "text", "sha", "own", "blocks"])
+        sha = [None if o else digest(t, None)[1] for t, o in zip(texts.to_pylist(), open_, strict=True)]
+        left = [b if o else None for b, o in zip(bodies.to_pylist(), open_, strict=True)]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), part.column("k"), pa.array(batch.n_words), pa.array(left, pa.binary()), pa.array(sha, pa.string()), own_list, block_list], ["doc_id", "d", "k", "n_words", "body", "sha", "own", "blocks"])
 
-    return map_texts(df.select("doc_id", "d", "k", "text", "hits"), one, PARSED.format(kind=kind))
+    def run(batches):
+        for part in sliced(batches, "body", SLICE_BYTES // 2):
+            if part.num_rows:
+                yield one(part)
+
+    return df.select("doc_id", "d", "k", "body", "hits").mapInArrow(run, PARSED.format(kind=kind))
 
 
 #: Python's own split() would cut at more characters than the six that part words here.
@@ -154,9 +177,9 @@ def finish(df: DataFrame, window: int, with_text: bool) -> DataFrame:
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for part in batches:
+        for part in sliced(batches, "body", SLICE_BYTES):
             removed, sha, text = [], [], []
-            for t, n, own, spans in zip(part.column("text"), part.column("n_words"), part.column("own"), part.column("spans"), strict=True):
+            for t, n, own, spans in zip(texts_of(part.column("body")), part.column("n_words"), part.column("own"), part.column("spans"), strict=True):
                 step = np.zeros(n.as_py() + 1, np.int64)
                 for spans_ in (own, spans):
                     if spans_.is_valid and len(spans_):
@@ -171,7 +194,7 @@ def finish(df: DataFrame, window: int, with_text: bool) -> DataFrame:
                 text.append(left if with_text and gone.any() else None)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["doc_id", "k", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return df.select("doc_id", "k", "n_words", "text", "own", "spans").mapInArrow(run, f"doc_id {kind}, k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return df.select("doc_id", "k", "n_words", "body", "own", "spans").mapInArrow(run, f"doc_id {kind}, k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def split_windows(df: DataFrame) -> DataFrame:
@@ -208,9 +231,9 @@ def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False) ->
     docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
     shared = kept(anchors(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     hits = anchors(docs, window).join(shared, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("hits"))
-    parsed = kept(parse(docs.join(hits, "k", "left"), window), "parsed")
+    parsed = kept(parse(shrunk(docs).join(hits, "k", "left"), window), "parsed")
     spans = factors(parsed).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "text", "own").join(spans, ["d", "k"], "left")
+    open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "body", "own").join(spans, ["d", "k"], "left")
     columns = ["doc_id", "k", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
     closed = parsed.where("sha IS NOT NULL").select("doc_id", "k", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     return closed.unionByName(finish(open_, window, with_text)).select(columns)
