@@ -2,8 +2,10 @@
 
 Every window of the benchmark's words is hashed into a small table which is broadcast
 if it is within ``max_broadcast`` rows; the documents' windows are hashed where they lie,
-looked up, and hits are verified word by word. A larger benchmark joins by shuffle with
-the same result. Only hits and one row a document are shuffled.
+looked up, and hits are verified word by word. Where the benchmark's words are at most
+MOST_WORDS, windows whose first, middle or last word it never uses are passed over
+unhashed. A larger benchmark is looked up without that, and joins by shuffle, with the
+same result. Only hits and one row a document are shuffled.
 
 Defined results: a null text has no words; an item without words has no window; rows of
 equal ``doc_id`` and text are grouped and returned as often as they occur; an item id that
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRETCH = 4096
+MOST_WORDS = 20_000
 
 
 def words(text: Column) -> Column:
@@ -38,6 +41,15 @@ def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return grams.groupBy("len", "gram").agg(F.collect_set("item").alias("items")).withColumn("h", F.xxhash64("gram"))
 
 
+def known_words(benchmark: DataFrame) -> Column | None:
+    """Which of ``words`` the benchmark uses, as an array; None if it uses more than MOST_WORDS."""
+    used = benchmark.select(F.explode(words(F.col("text"))).alias("w")).distinct().limit(MOST_WORDS + 1).collect()
+    if len(used) > MOST_WORDS:
+        return None
+    listed = ", ".join(f"'{w}'" for w in sorted(r["w"] for r in used)) or "NULL"  # words hold no quotes
+    return F.expr(f"transform(words, w -> coalesce(w IN ({listed}), false))")
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_broadcast: int = 1_000_000) -> DataFrame:
     """One row a document and, besides, one for each verified occurrence of a window.
 
@@ -47,11 +59,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_broadcast:
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window`` numbers
     small = grams.limit(max_broadcast + 1).count() <= max_broadcast
     base = docs.select("doc_id", F.xxhash64("text").alias("k"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    known = known_words(benchmark)
+    if known is not None:
+        base = base.withColumn("known", known)
     base = base.withColumn("from", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)), F.lit(STRETCH))))
 
     def scan(length: int) -> Column:
         last = F.least(F.col("from") + STRETCH, F.col("n_words") - length + 1)
         there = F.sequence(F.col("from"), F.greatest(last - 1, F.col("from")))
+        if known is not None:
+            there = F.filter(there, lambda i: F.get("known", i) & F.get("known", i + length - 1) & F.get("known", i + length // 2))
         found = F.transform(there, lambda i: F.struct(i.alias("pos"), F.lit(length).alias("len"), F.xxhash64(F.slice("words", i + 1, length)).alias("h")))
         return F.when(last > F.col("from"), found).otherwise(F.expr("array()").cast("array<struct<pos:int,len:int,h:bigint>>"))
 
