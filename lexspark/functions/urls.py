@@ -76,7 +76,7 @@ def normalize_url(url: Column) -> Column:
     bare = F.regexp_replace(authority(u), "^.*@", "")
     name = F.lower(F.regexp_extract(bare, r"^(\[[^\]]*\]|[^:]*)", 1))
     port = F.regexp_extract(bare, r":([0-9]+)$", 1)
-    default = (port == "") | ((kind == "http") & (port.cast("int") == 80)) | ((kind == "https") & (port.cast("int") == 443))
+    default = (port == "") | ((kind == "http") & (port.try_cast("int") == 80)) | ((kind == "https") & (port.try_cast("int") == 443))
     place = F.when(default, name).otherwise(F.concat(name, F.lit(":"), F.regexp_replace(port, "^0+(?=[0-9])", "")))
     kept = F.filter(query_pairs(u), lambda p: ~is_tracking(p["key"]))
     text = F.array_join(F.transform(kept, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))), "&")

@@ -11,14 +11,14 @@ from lexspark.functions.urls import denied, host, path
 def omitted_links(lines: DataFrame) -> DataFrame:
     """URLs of pages (lines: value) that enqueued fewer links than were in scope."""
     part = lambda name, pattern=r"(\d+)": F.regexp_extract("value", rf"\bLINKS\b.*?\b{name}={pattern}", 1)
-    rows = lines.select(part("url", r"(\S+)").alias("url"), part("in_scope").cast("int").alias("in_scope"), part("enqueued").cast("int").alias("enqueued"))
+    rows = lines.select(part("url", r"(\S+)").alias("url"), part("in_scope").try_cast("int").alias("in_scope"), part("enqueued").try_cast("int").alias("enqueued"))
     return rows.where("url <> '' AND in_scope > enqueued").select("url").distinct()
 
 
 def thin_pages(lines: DataFrame) -> DataFrame:
     """(url, depth) of pages skipped as thin, at their least depth."""
     part = lambda name, pattern: F.regexp_extract("value", rf"\bSKIP_THIN_CONTENT\b.*?\b{name}={pattern}", 1)
-    rows = lines.select(part("url", r"(\S+)").alias("url"), part("depth", r"(\d+)").cast("int").alias("depth"))
+    rows = lines.select(part("url", r"(\S+)").alias("url"), part("depth", r"(\d+)").try_cast("int").alias("depth"))
     return rows.where("url <> ''").groupBy("url").agg(F.min("depth").alias("depth"))
 
 

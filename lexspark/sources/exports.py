@@ -24,7 +24,7 @@ def vocabulary_tsv(vocab: DataFrame, path: str) -> None:
 def read_word_list(lines: DataFrame) -> DataFrame:
     """(word, freq) from lines ``word => freq``."""
     at = F.regexp_extract("value", r"^(.*) => (\d+)\s*$", 2)
-    return lines.select(F.regexp_extract("value", r"^(.*) => (\d+)\s*$", 1).alias("word"), at.cast("long").alias("freq")).where("freq IS NOT NULL")
+    return lines.select(F.regexp_extract("value", r"^(.*) => (\d+)\s*$", 1).alias("word"), at.try_cast("long").alias("freq")).where("freq IS NOT NULL")
 
 
 def evaluation_json(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
