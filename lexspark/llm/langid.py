@@ -14,7 +14,8 @@ aggregates; rows meet them in a plain shuffled join of written tables, which ada
 execution splits if one host holds a third of all rows. Text models are fitted on about
 ``per_language`` labelled texts of each language.
 
-Defined results: null and empty texts are ``und`` and rejected; a missing host, suffix
+Defined results: null and empty texts are ``und`` and rejected; where no text is labelled,
+all are ``und`` and those with letters are accepted; a missing host, suffix
 or declaration is no evidence; ties go to the language first in alphabetical order;
 repeated rows give repeated results (and count each for the priors); other columns are
 carried by the caller; an empty table gives an empty result.
@@ -63,7 +64,7 @@ def trigrams(batch: DocBatch) -> tuple[np.ndarray, np.ndarray]:
     return ((code * GRAM) >> np.uint64(49)).astype(np.int64), doc
 
 
-def train_texts(df: DataFrame, per_language: int = 3000, least: int = 5, most_languages: int = 40) -> tuple[list[str], np.ndarray]:
+def train_texts(df: DataFrame, per_language: int = 3000, least: int = 1, most_languages: int = 40) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities of trigrams, from rows (text, lang) of which about per_language of each are read."""
     seen = df.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     counts = {r["lang"]: r["count"] for r in seen if r["count"] >= least and r["lang"] != UNKNOWN}
@@ -165,7 +166,7 @@ def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFr
             p /= p.sum(axis=1, keepdims=True)
             best = np.where(n > 0, p.argmax(axis=1), size - 1)
             confidence = p[np.arange(len(p)), best]
-            ok = (best < size - 1) & (confidence >= min_confidence)
+            ok = (best < size - 1) & (confidence >= min_confidence) if names else n > 0
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(labels[best].tolist(), pa.string()), pa.array(confidence), pa.array(text_lang.tolist(), pa.string()), pa.array(ok)], [*carried, "lang", "confidence", "text_lang", "accepted"])
 
     return table.join(host, "host", "left").select(*df.columns, "host_sum").mapInArrow(run, schema)

@@ -46,7 +46,8 @@ def window_minima(batch: DocBatch, window: int) -> tuple[np.ndarray, np.ndarray]
     width, have = window - min(ANCHOR, window) + 1, 1
     while have < width:
         step = min(have, width - have)
-        low[: total - step] = np.minimum(low[: total - step], low[step:])
+        left = max(total - step, 0)
+        low[:left] = np.minimum(low[:left], low[step:])
         have += step
     room = np.repeat(batch.word_offsets[1:], batch.n_words) - np.arange(total)
     starts = np.flatnonzero(room >= window)
