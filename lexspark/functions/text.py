@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lexspark.functions import tables
+from lexspark.functions.analysis import let
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -32,15 +33,15 @@ def detect_language(text: Column) -> Column:
     """en, es or other by the share of their function words among the first words."""
     words = F.regexp_extract_all(F.substring(F.coalesce(text, F.lit("")), 1, tables.LANGUAGE_CHARS), F.lit(r"([a-zA-ZáéíóúüñÁÉÍÓÚÜÑ']+)"), 1)
     words = F.slice(F.transform(words, lambda w: F.lower(w)), 1, tables.LANGUAGE_WORDS)
-    n = F.size(words)
-    counts = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("en"), F.lit(0).alias("es")),
-        lambda acc, w: F.struct((acc["en"] + w.isin(*tables.ENGLISH).cast("int")).alias("en"), (acc["es"] + w.isin(*tables.SPANISH).cast("int")).alias("es")),
-        lambda acc: F.struct((acc["en"] / n).alias("en"), (acc["es"] / n).alias("es")),
-    )
-    en, es = counts["en"], counts["es"]
-    return F.when(n < tables.LANGUAGE_LEAST, "other").when((en >= tables.LANGUAGE_SHARE) & (en > es), "en").when((es >= tables.LANGUAGE_SHARE) & (es > en), "es").otherwise("other")
+
+    def judge(w: Column) -> Column:
+        n = F.size(w)
+        en = F.size(F.filter(w, lambda x: x.isin(*tables.ENGLISH))) / F.greatest(n, F.lit(1))
+        es = F.size(F.filter(w, lambda x: x.isin(*tables.SPANISH))) / F.greatest(n, F.lit(1))
+        told = F.when((en >= tables.LANGUAGE_SHARE) & (en > es), "en").when((es >= tables.LANGUAGE_SHARE) & (es > en), "es").otherwise("other")
+        return F.when(n < tables.LANGUAGE_LEAST, "other").otherwise(told)
+
+    return let(words, judge)
 
 
 def _keyword_words(word: str) -> str:

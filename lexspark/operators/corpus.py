@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import tables
+from lexspark.functions.layout import spread
 from lexspark.functions.text import report_words, word_count
-from lexspark.operators.index import spread
 
 NULL_LABEL = "(null)"
 

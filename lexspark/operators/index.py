@@ -13,12 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.analysis import BASIC, Policy, analyze
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out where a small file gives fewer partitions than there are cores; a large input is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+from lexspark.functions.layout import spread
 
 
 def indexable(pages: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from lexspark.functions import html as H
 from lexspark.functions import text as X
 from lexspark.functions import urls as U
 from lexspark.functions.analysis import BASIC, FULL, STOP, Policy, analyze, fold, normalize_dates, normalize_numbers
+from lexspark.functions.layout import spread
 from lexspark.operators import corpus, evaluation, repository
 from lexspark.operators import index as I
 from lexspark.operators import search as S
@@ -253,12 +254,12 @@ def thin_content(spark, sf):
 
 @query
 def lang_detect(spark, sf):
-    return documents(spark, sf).select("doc_id", X.detect_language(F.col("text")).alias("language"))
+    return spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", X.detect_language(F.col("text")).alias("language"))
 
 
 @query
 def topical_score(spark, sf):
-    rows = documents(spark, sf).select("doc_id", X.topical_score(F.col("text"), TOPIC).alias("s"))
+    rows = spread(documents(spark, sf).select("doc_id", "text")).select("doc_id", X.topical_score(F.col("text"), TOPIC).alias("s"))
     return rows.select("doc_id", "s.hits", F.round("s.density", 9).alias("density"), X.is_topical(F.col("s")).alias("topical"))
 
 
@@ -312,13 +313,13 @@ def html_title(spark, sf):
 
 @query
 def html_links(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", H.extract_page("html", "url").alias("p"))
+    rows = spread(table(spark, sf, "pages")).select("page_id", H.extract_page("html", "url").alias("p"))
     return rows.select("page_id", F.posexplode("p.links").alias("place", "link")).select("page_id", "place", "link.url", "link.anchor")
 
 
 @query
 def html_text(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", H.extract_page("html", "url").alias("p"))
+    rows = spread(table(spark, sf, "pages")).select("page_id", H.extract_page("html", "url").alias("p"))
     return rows.select("page_id", "p.title", F.length("p.text").alias("chars"), X.detect_language(F.col("p.text")).alias("language"))
 
 
