@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.layout import spread
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRETCH = 4096
@@ -58,7 +60,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_broadcast:
     grams = benchmark_windows(benchmark, window)
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window`` numbers
     small = grams.limit(max_broadcast + 1).count() <= max_broadcast
-    base = docs.select("doc_id", F.xxhash64("text").alias("k"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+    base = spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("k"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     known = known_words(benchmark)
     if known is not None:
         base = base.withColumn("known", known)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexspark.functions.layout import spread
 from lexspark.llm.words import sliced
 
 TOKEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -378,7 +379,7 @@ def labelled(page: str) -> tuple[list[Node], np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def trained(pages: int = 900, seed: int = 3) -> Boosted:
+def trained(pages: int = 500, seed: int = 3) -> Boosted:
     """Trees fitted to generated pages."""
     maker = PageMaker(np.random.default_rng(seed))
     xs, ys, ws = [], [], []
@@ -471,4 +472,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = main_texts(part.column("html").to_pylist(), model.value)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return spread(pages.select("page_id", "url", "html")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.layout import spread
 from lexspark.llm.storage import kept
 from lexspark.llm.words import GRAM, LOWER, DocBatch, sliced
 
@@ -117,7 +118,7 @@ def evidence(df: DataFrame, names: list[str], model: np.ndarray, markup: bool) -
             lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (score, p)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), declared, pa.array(n.astype(np.int64)), *lists], [*carried, "declared", "n_trigrams", "likelihood", "own"])
 
-    return df.select(*carried, "text", "declared").mapInArrow(run, schema)
+    return spread(df.select(*carried, "text", "declared")).mapInArrow(run, schema)
 
 
 def _sum(column: str, size: int, weight: Column | None = None) -> Column:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions.layout import spread
 from lexspark.llm.storage import kept
 from lexspark.llm.words import sliced
 
@@ -100,7 +101,7 @@ def pieces(df: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -
                 at, k, start, length, crc = (pa.array(np.array(c, np.int64)) for c in zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([ids.take(at), k.cast(pa.int32()), start, length, crc], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return spread(df.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:

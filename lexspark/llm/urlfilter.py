@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions.layout import spread
 from lexspark.llm.storage import drop, kept
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -80,7 +81,7 @@ def host_links(pages: DataFrame) -> DataFrame:
                 dst += sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
 
-    edges = pages.where("host <> ''").select("url", "host", "html").mapInArrow(run, "src string, dst string")
+    edges = spread(pages.where("host <> ''").select("url", "host", "html")).mapInArrow(run, "src string, dst string")
     return edges.groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
+from lexspark.functions.layout import spread
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -205,4 +207,4 @@ def map_texts(df, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str):
             if part.num_rows:
                 yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
