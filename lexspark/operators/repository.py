@@ -144,6 +144,23 @@ def resume_filter(requests: DataFrame, pages: DataFrame, now: Column, crawler: s
     return requests.join(lately, skip, "left_anti")
 
 
+def mark(frontier: DataFrame, results: DataFrame) -> DataFrame:
+    """The frontier with the status and reason of results (url, new_status, reason); a task that goes back to pending has one attempt more."""
+    found = results.select("url", "new_status", F.col("reason").alias("_reason"))
+    joined = frontier.join(found, "url", "left")
+    again = (F.col("new_status") == "pending").cast("int")
+    return joined.withColumn("attempts", F.col("attempts") + F.coalesce(again, F.lit(0))).withColumn("status", F.coalesce("new_status", "status")).withColumn("last_reason", F.when(F.col("new_status").isNotNull(), F.col("_reason"))).drop("new_status", "_reason")
+
+
+def new_links(found: DataFrame, admitted: DataFrame) -> DataFrame:
+    """Links (from_url, to_url) to keep: those whose target was just admitted to the frontier."""
+    return found.join(admitted.select(F.col("url").alias("to_url")).distinct(), "to_url", "left_semi").select("from_url", "to_url")
+
+
+def by_status(frontier: DataFrame) -> DataFrame:
+    return frontier.groupBy("status").agg(F.count("*").alias("urls"))
+
+
 def domain_counts(frontier: DataFrame) -> DataFrame:
     """(domain, urls, pending)."""
     return frontier.groupBy("domain").agg(F.count("*").alias("urls"), F.count_if(F.col("status") == "pending").alias("pending"))

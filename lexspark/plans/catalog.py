@@ -199,6 +199,20 @@ def suggest(spark, sf):
     return S.suggest(words, I.build(documents(spark, sf)).vocab, BASIC)
 
 
+@query
+def search_page_site(spark, sf):
+    pages = table(spark, sf, "pages")
+    docs = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    sites = pages.select(F.col("page_id").alias("doc_id"), U.domain(F.col("url")).alias("site"), F.lit("x").alias("language"), F.lit("x").alias("source"))
+    return S.search(I.build(docs), "site:example.org -site:spam-farm.example.org", docs, sites, 20).drop("query_id")
+
+
+@query
+def edit_candidates(spark, sf):
+    rows = cases.inline(spark, [("ab",), ("x",), ("zelda",)], "word string")
+    return rows.select("word", F.size(X.edits(F.col("word"))).alias("candidates"))
+
+
 @query
 def snippet(spark, sf):
     docs = documents(spark, sf)
@@ -330,7 +344,7 @@ def fetch_pages(spark, sf):
             raise TimeoutError(url)
         return {"status_code": 200 if len(url) % 5 else 404, "content_type": "text/html; charset=utf-8", "body": url.encode()}
 
-    return fetch.fetch(table(spark, sf, "pages"), get).select("url", "status_code", "body", "truncated", "error")
+    return fetch.fetch(table(spark, sf, "pages"), get).select("url", F.coalesce("status_code", F.lit(0)).alias("status_code"), "body", "truncated", "error")
 
 
 @query
@@ -415,7 +429,96 @@ def stale_pages(spark, sf):
 def log_recovery(spark, sf):
     lines = [("x LINKS url=https://a.example.org/1 total=8 in_scope=5 enqueued=0",), ("x LINKS url=https://a.example.org/2 total=8 in_scope=5 enqueued=5",), ("x LINKS url=https://b.example.org/3 total=8 in_scope=5 enqueued=2",), ("y SKIP_THIN_CONTENT url=https://a.example.org/1 depth=2 words=0",), ("y SKIP_THIN_CONTENT url=https://a.example.org/1 depth=3 words=0",)]
     rows = cases.inline(spark, lines, "value string")
-    return crawl_log.omitted_links(rows).join(crawl_log.thin_pages(rows), "url", "left")
+    return crawl_log.omitted_links(rows).join(crawl_log.thin_pages(rows), "url", "left").fillna({"depth": -1})
+
+
+@query
+def seed_rows(spark, sf):
+    rows = cases.inline(spark, cases.SEEDS, ", ".join(f"{c} string" for c in seeds.COLUMNS))
+    return seeds.for_crawler(seeds.clean_seeds(rows), "custom").select("seed_id", "url", "scope_mode")
+
+
+@query
+def seed_tasks(spark, sf):
+    rows = cases.inline(spark, cases.SEEDS, ", ".join(f"{c} string" for c in seeds.COLUMNS))
+    return seeds.start_tasks(seeds.clean_seeds(rows)).select("seed_id", "url", "depth", "parent_topical")
+
+
+@query
+def redirect_rules(spark, sf):
+    rules = cases.inline(spark, [("a.org", "prefix", ["/x"]), ("b.org", "prefix", ["/y"])], "host string, mode string, prefixes array<string>")
+    moves = cases.inline(spark, [("https://a.org/", "https://b.org/", 0), ("https://a.org/", "https://c.org/", 0), ("https://a.org/", "https://d.org/", 1)], "url string, final_url string, depth int")
+    return U.redirect_rules(rules, moves).withColumn("prefixes", F.array_join("prefixes", " "))
+
+
+@query
+def robots_parsed(spark, sf):
+    text = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /a # why\nAllow: /a/b\nCrawl-delay: 2.5\nDisallow:\n"
+    files = cases.inline(spark, [("s", 200, text), ("t", 404, "User-agent: *\nDisallow: /"), ("u", 200, None)], "site string, status_code int, text string")
+    return fetch.robots_rules(files).select("site", F.coalesce("path", F.lit("")).alias("path"), F.coalesce(F.col("allow").cast("string"), F.lit("")).alias("allow"), F.coalesce("delay", F.lit(0.0)).alias("delay"))
+
+
+@query
+def retry_headers(spark, sf):
+    rows = cases.inline(spark, [(1, "12"), (2, "Thu, 01 Jan 2026 00:01:00 GMT"), (3, "-5"), (4, "soon")], "id int, h string")
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    return rows.select("id", F.coalesce(repository.retry_after(F.col("h"), now), F.lit(-1.0)).alias("seconds"))
+
+
+def crawled(spark, sf) -> DataFrame:
+    events = table(spark, sf, "events")
+    return events.select(F.concat(F.lit("u"), F.col("user_id")).alias("url"), F.col("ts").alias("fetched_at"), (F.col("event_id") % 4).cast("int").alias("depth"), F.lit("domain").alias("scope_rule"), F.col("event_type").alias("crawler_source"), (F.lit(200) + (F.col("event_id") % 3) * 100).cast("int").alias("http_status"), F.col("props").alias("text"))
+
+
+@query
+def resume_requests(spark, sf):
+    pages = crawled(spark, sf)
+    now = pages.agg(F.max("fetched_at").alias("now")).first()["now"]
+    requests = pages.select("url", F.lit("domain").alias("scope_rule")).distinct().withColumn("depth", (F.length("url") - 2).cast("int")).withColumn("forced", F.endswith("url", F.lit("7")))
+    return repository.resume_filter(requests, pages, F.lit(now), "click", 1).select("url", "depth")
+
+
+@query
+def frontier_revisit(spark, sf):
+    pages = crawled(spark, sf)
+    now = pages.agg(F.max("fetched_at").alias("now")).first()["now"]
+    last = pages.groupBy("url").agg(F.max("fetched_at").alias("fetched_at"))
+    frontier = last.select("url", F.when(F.endswith("url", F.lit("3")), "skipped").otherwise("done").alias("status"))
+    return repository.by_status(repository.revisit(frontier, last, F.lit(now), 0.5))
+
+
+@query
+def frontier_blocked(spark, sf):
+    frontier = repository.enqueue(empty_frontier(spark), tasks(spark, sf)).withColumn("last_reason", F.lit(None).cast("string"))
+    orders = table(spark, sf, "orders").select(F.concat(F.lit("h"), F.col("o_custkey") % 50, F.lit(".example.org")).alias("domain"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") != "F").alias("failed"))
+    blocked = repository.failure_runs(orders, 9).where("blocked")
+    return repository.by_status(repository.drain(frontier, blocked))
+
+
+@query
+def frontier_marked(spark, sf):
+    frontier = repository.enqueue(empty_frontier(spark), tasks(spark, sf)).withColumn("last_reason", F.lit(None).cast("string"))
+    results = frontier.where("depth < 3").select("url", F.when(F.col("depth") == 0, "pending").when(F.col("depth") == 1, "done").otherwise("skipped").alias("new_status"), F.concat(F.lit("r"), "depth").alias("reason"))
+    return repository.mark(frontier, results).groupBy("status", "attempts", F.coalesce("last_reason", F.lit("")).alias("reason")).agg(F.count("*").alias("urls"))
+
+
+@query
+def links_kept(spark, sf):
+    pages = table(spark, sf, "pages")
+    found = spread(pages).select(F.col("url").alias("from_url"), F.explode(H.extract_page("html", "url").getField("links")).alias("l")).select("from_url", F.col("l.url").alias("to_url"))
+    admitted = found.where(F.contains("to_url", F.lit("/en"))).select(F.col("to_url").alias("url"))
+    return repository.new_links(found, admitted)
+
+
+@query
+def text_paths(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.text_path(F.lit("own"), U.domain(F.col("url")), X.content_hash(F.col("html"))).alias("path"))
+
+
+@query
+def valid_judgements(spark, sf):
+    _, shown, judgements = relations(spark, sf)
+    return repository.shown_only(judgements, shown).select("run_id", "page_id", "relevance")
 
 
 # --- evaluation and usage
@@ -436,6 +539,11 @@ def metrics_summary(spark, sf):
     return evaluation.summaries(evaluation.run_metrics(*relations(spark, sf)))
 
 
+@query
+def coverage_novelty(spark, sf):
+    return evaluation.coverage_novelty(*relations(spark, sf)).fillna(-1.0)
+
+
 @query
 def metrics_pool(spark, sf):
     runs, _, judgements = relations(spark, sf)
@@ -520,6 +628,12 @@ def stream_windows(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "source", "pages", "bytes")
 
 
+@query
+def stream_rates(spark, sf):
+    out = streamed(spark, sf, lambda e: P.rates(e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("bytes")), "1 day", "1 hour"), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("start"), "pages", "bytes")
+
+
 @query
 def stream_once(spark, sf):
     return streamed(spark, sf, lambda e: P.once(e.select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id")).alias("url")), "400 days").select("url"), "append")

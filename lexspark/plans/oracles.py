@@ -158,7 +158,7 @@ SQL: dict[str, str] = {
     "html_links": r"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS anchor, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
         f AS (SELECT page_id, base || replace(href, '&amp;', '&') AS url, arg_min(anchor, i) AS anchor, min(i) AS i FROM a GROUP BY page_id, base || replace(href, '&amp;', '&'))
         SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS place, url, replace(replace(replace(anchor, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS anchor FROM f""",
-    "fetch_pages": "SELECT url, CASE WHEN length(url) % 7 = 0 THEN NULL WHEN length(url) % 5 > 0 THEN 200 ELSE 404 END AS status_code, CASE WHEN length(url) % 7 > 0 AND length(url) % 5 > 0 THEN url END AS body, false AS truncated, CASE WHEN length(url) % 7 = 0 THEN 'TimeoutError: ' || url END AS error FROM pages",
+    "fetch_pages": "SELECT url, CASE WHEN length(url) % 7 = 0 THEN 0 WHEN length(url) % 5 > 0 THEN 200 ELSE 404 END AS status_code, CASE WHEN length(url) % 7 > 0 AND length(url) % 5 > 0 THEN url END AS body, false AS truncated, CASE WHEN length(url) % 7 = 0 THEN 'TimeoutError: ' || url END AS error FROM pages",
     "robots": f"WITH u AS (SELECT page_id, {HOST} AS h, {PATH} AS p FROM pages) SELECT page_id FROM u WHERE NOT (h = 'spam-farm.example.org' AND NOT starts_with(p, '/en/') AND p <> '') AND NOT (h = 'ththed.example.org' AND starts_with(p, '/en/'))",
     "save_outcomes": f"WITH {ARRIVALS} SELECT seq, url, CASE WHEN held = h THEN 'unchanged' WHEN held IS NOT NULL THEN 'updated' WHEN rejected THEN 'duplicate_content' ELSE 'saved' END AS outcome FROM a3",
     "page_decision": f"""WITH s AS ({TOPIC_HITS}), d AS (SELECT s.doc_id, hits, hits >= 5 AND CASE WHEN len(ws) > 0 THEN hits / len(ws) * 1000 ELSE 0 END >= 3 AS topical, CASE WHEN {FLAT} = '' THEN 0 ELSE len(string_split({FLAT}, ' ')) END AS n FROM s JOIN documents USING (doc_id)),
@@ -172,7 +172,7 @@ SQL: dict[str, str] = {
           CASE WHEN err THEN 'fetch_error' WHEN code NOT BETWEEN 200 AND 299 THEN 'http_' || code WHEN NOT body THEN 'content_type' END AS reason, NOT (err OR code IN (429, 503, 403, 500)) AS success,
           CAST(CASE WHEN (err OR code IN (429, 503)) AND n < 3 THEN coalesce(ra, least(900, 30 * pow(2, n - 1))) END AS DOUBLE) AS wait FROM r""",
     "stale_pages": "SELECT event_id FROM events WHERE (SELECT max(ts) FROM events) - ts >= INTERVAL 7 DAY",
-    "log_recovery": "SELECT * FROM (VALUES ('https://a.example.org/1', 2), ('https://b.example.org/3', NULL)) x(url, depth)",
+    "log_recovery": "SELECT * FROM (VALUES ('https://a.example.org/1', 2), ('https://b.example.org/3', -1)) x(url, depth)",
     "metrics_runs": f"WITH {RUNS} SELECT run_id, R, p5, pk, ap, r_precision, fk, rr, ndcg, coverage, novelty FROM m",
     "metrics_summary": f"WITH {RUNS} SELECT CASE WHEN grouping(index_name) = 0 THEN 'index' WHEN grouping(need) = 0 THEN 'need' WHEN grouping(judge) = 0 THEN 'judge' ELSE 'all' END AS kind, coalesce(index_name, need, judge, '') AS key, count(*) AS runs, {MEANS} FROM m GROUP BY GROUPING SETS ((), (index_name), (need), (judge))",
     "metrics_pool": f"WITH {RUNS} SELECT * FROM pool",
@@ -190,4 +190,22 @@ SQL: dict[str, str] = {
     "stream_total": "SELECT event_type AS source, count(*) AS pages, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY 1",
     "stream_windows": "WITH w AS (SELECT event_type AS source, user_id, CAST(CAST(ts AS DATE) - CAST(o AS INTEGER) AS DATE) AS start FROM events, range(0, 2) x(o)) SELECT strftime(start, '%Y-%m-%d') AS start, source, count(*) AS pages, CAST(sum(user_id) AS BIGINT) AS bytes FROM w GROUP BY ALL",
     "stream_once": "SELECT DISTINCT 'u' || user_id AS url FROM events",
+    "seed_rows": "SELECT * FROM (VALUES ('s1', 'https://a.example.com/wiki/', 'domain'), ('s4', 'https://c.example.org/', 'topical'), ('s5', 'https://c.example.org/x', 'bogus')) x(seed_id, url, scope_mode)",
+    "seed_tasks": "SELECT *, 0 AS depth, true AS parent_topical FROM (VALUES ('s1', 'https://a.example.com/wiki/'), ('s2', 'https://b.example.net/en/'), ('s3', 'https://b.example.net/fr/'), ('s4', 'https://c.example.org/'), ('s5', 'https://c.example.org/x')) x(seed_id, url)",
+    "redirect_rules": "SELECT * FROM (VALUES ('a.org', 'prefix', '/x'), ('b.org', 'prefix', '/x /y'), ('c.org', 'prefix', '/x')) x(host, mode, prefixes)",
+    "robots_parsed": "SELECT * FROM (VALUES ('s', '/a', 'false', 0.0), ('s', '/a/b', 'true', 0.0), ('s', '', '', 2.5)) x(site, path, allow, delay)",
+    "retry_headers": "SELECT id, CAST(seconds AS DOUBLE) AS seconds FROM (VALUES (1, 12), (2, 60), (3, 0), (4, -1)) x(id, seconds)",
+    "resume_requests": """WITH p AS (SELECT 'u' || user_id AS url, ts, event_id % 4 AS depth, event_type AS src, 200 + event_id % 3 * 100 AS code, props FROM events), r AS (SELECT DISTINCT url, length(url) - 2 AS depth, url LIKE '%7' AS forced FROM p)
+        SELECT url, depth FROM r WHERE forced OR NOT EXISTS (SELECT 1 FROM p WHERE p.url = r.url AND src = 'click' AND code BETWEEN 200 AND 299 AND props IS NOT NULL AND (SELECT max(ts) FROM p) - ts <= INTERVAL 1 DAY AND r.depth >= p.depth)""",
+    "frontier_revisit": "WITH l AS (SELECT 'u' || user_id AS url, max(ts) AS ts FROM events GROUP BY 1) SELECT CASE WHEN url LIKE '%3' THEN 'skipped' WHEN (SELECT max(ts) FROM l) - ts >= INTERVAL 12 HOUR THEN 'pending' ELSE 'done' END AS status, count(*) AS urls FROM l GROUP BY 1",
+    "frontier_blocked": f"""WITH {TASKS}, e AS (SELECT 'h' || (o_custkey % 50) || '.example.org' AS domain, o_orderkey AS seq, o_orderstatus <> 'F' AS failed FROM orders), i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY domain ORDER BY seq) AS g FROM e),
+        b AS (SELECT DISTINCT domain FROM (SELECT domain, g, count(*) FILTER (failed) AS n FROM i GROUP BY ALL) WHERE n >= 9) SELECT CASE WHEN domain IN (SELECT domain FROM b) THEN 'skipped' ELSE 'pending' END AS status, count(*) AS urls FROM fr GROUP BY 1""",
+    "frontier_marked": f"WITH {TASKS} SELECT CASE depth WHEN 1 THEN 'done' WHEN 2 THEN 'skipped' ELSE 'pending' END AS status, CASE WHEN depth = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN depth < 3 THEN 'r' || depth ELSE '' END AS reason, count(*) AS urls FROM fr GROUP BY ALL",
+    "links_kept": r"""WITH a AS (SELECT page_id, url AS from_url, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), f AS (SELECT DISTINCT page_id, from_url, base || replace(href, '&amp;', '&') AS to_url FROM a) SELECT from_url, to_url FROM f WHERE contains(to_url, '/en')""",
+    "text_paths": rf"""SELECT page_id, 'own/' || {HOST} || '/' || left(h, 2) || '/' || left(h, 16) || '.txt' AS path FROM (SELECT page_id, url, sha256(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS h FROM pages)""",
+    "valid_judgements": f"WITH {RUNS} SELECT run_id, page_id, relevance FROM j JOIN shown USING (run_id, page_id)",
+    "coverage_novelty": f"WITH {RUNS} SELECT run_id, judge, need, coalesce(coverage, -1) AS coverage, coalesce(novelty, -1) AS novelty FROM cn JOIN runs USING (run_id)",
+    "search_page_site": f"SELECT * FROM (SELECT row_number() OVER (ORDER BY page_id) AS rank, page_id AS doc_id, 0.0 AS score FROM pages WHERE ({HOST} = 'example.org' OR {HOST} LIKE '%.example.org') AND {HOST} NOT LIKE '%spam-farm.example.org') WHERE rank <= 20",
+    "edit_candidates": "SELECT word, n * 35 + (n + 1) * 36 - n + n + (n - 1) + 1 - CASE WHEN n = 1 THEN 0 ELSE 0 END AS candidates FROM (SELECT word, length(word) AS n FROM (VALUES ('ab'), ('x'), ('zelda')) x(word))",
+    "stream_rates": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS start, count(*) AS pages, CAST(sum(user_id) AS BIGINT) AS bytes FROM events GROUP BY 1",
 }

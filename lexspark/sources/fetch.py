@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 5 * 1024 * 1024
@@ -41,6 +41,25 @@ def fetch(tasks: DataFrame, get: Callable[[str], dict]) -> DataFrame:
     return tasks.select("url").mapInPandas(run, FETCHED)
 
 
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """Rules (site, path, allow) and delays (site, path null, delay) from robots files (site, status_code, text).
+
+    The group of the agent counts if the file has one, else that of ``*``. A site whose file could not be
+    had (status beyond 2xx, or no text) has no rules, and so allows all.
+    """
+    usable = files.where(F.col("status_code").between(200, 299) & F.col("text").isNotNull())
+    lines = usable.select("site", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
+    parts = lines.select("site", "n", F.lower(F.trim(F.regexp_extract("line", r"^\s*([A-Za-z-]+)\s*:", 1))).alias("key"), F.trim(F.regexp_extract("line", r"^\s*[A-Za-z-]+\s*:\s*([^#]*)", 1)).alias("value")).where("key <> ''")
+    w = Window.partitionBy("site").orderBy("n")
+    starts = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(w), F.lit("")) != "user-agent")
+    parts = parts.withColumn("group", F.sum(starts.cast("int")).over(w))
+    agents = parts.where("key = 'user-agent'").groupBy("site", "group").agg(F.max((F.lower("value") == agent.lower()).cast("int")).alias("mine"), F.max((F.col("value") == "*").cast("int")).alias("any"))
+    best = agents.where("mine + any > 0").withColumn("named", F.max("mine").over(Window.partitionBy("site"))).where("mine = named").select("site", "group")
+    own = parts.join(best, ["site", "group"]).where(F.col("key").isin("allow", "disallow", "crawl-delay") & (F.col("value") != ""))
+    rule = F.col("key") != "crawl-delay"
+    return own.select("site", F.when(rule, F.col("value")).alias("path"), F.when(rule, F.col("key") == "allow").alias("allow"), F.when(~rule, F.col("value").try_cast("double")).alias("delay"))
+
+
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, site, path) that robots rules (site, path, allow) let through: the longest rule that fits wins, allow on a tie; sites without rules allow all."""
     fits = F.startswith(F.col("path"), F.col("_rule"))
