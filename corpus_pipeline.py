@@ -43,11 +43,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of WINDOW_WORDS words or more that stand earlier in the corpus; documents left without words go."""
-    cut = kept(substring_dedup(docs, WINDOW_WORDS, with_text=True), "cut").where("n_removed > 0").select(F.col("doc_id").alias("_lexspark_id"), F.col("k").alias("_lexspark_k"), F.col("kept_text").alias("_lexspark_text")).dropDuplicates(["_lexspark_id", "_lexspark_k"])
-    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("_lexspark_id")) & (F.xxhash64("doc_id", "text") == F.col("_lexspark_k")), "left")
-    text = F.coalesce("_lexspark_text", "text")
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_lexspark_text").isNull(), F.col(c)).otherwise(F.length("_lexspark_text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.where("_lexspark_text IS NULL OR _lexspark_text <> ''").select(columns)
+    others = {c: f"_lexspark_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    cut = substring_dedup(docs.select("doc_id", "text", *(F.col(c).alias(a) for c, a in others.items())), WINDOW_WORDS, with_text=True, carry=list(others.values()))
+
+    def column(c: str):
+        if c == "n_chars":  # follows the text
+            return F.when(F.col("n_removed") == 0, F.col(others[c])).otherwise(F.length("kept_text").cast(docs.schema[c].dataType)).alias(c)
+        return F.col("kept_text" if c == "text" else others.get(c, c)).alias(c)
+
+    return cut.where("n_removed = 0 OR kept_text <> ''").select(*map(column, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

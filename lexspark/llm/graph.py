@@ -12,10 +12,9 @@ def _canonical(edges: DataFrame, u: str, v: str) -> DataFrame:
     return edges.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
 
 
-def _linked_to_least(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """Each edge with the least neighbour of its node. The minima are written first, so that a hub's rows can be split in the join."""
-    least = kept(edges.groupBy(node).agg(F.min(other).alias("least")), "least")
-    return edges.join(least, node)
+def _least(edges: DataFrame, node: str, other: str) -> DataFrame:
+    """The least neighbour of each node, written first, so that a hub's rows can be split in the join that follows."""
+    return kept(edges.groupBy(node).agg(F.min(other).alias("least")), "least")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,13 +29,15 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _linked_to_least(both, "u", "v").where("v > u").select("v", F.least("u", "least").alias("w"))
+        nearest = _least(both, "u", "v")
+        large = both.join(nearest, "u").where("v > u").select("v", F.least("u", "least").alias("w"))
         large = kept(_canonical(large, "v", "w"), "large")
-        near = _linked_to_least(large, "u", "v")
+        lowest = _least(large, "u", "v")
+        near = large.join(lowest, "u")
         small = near.select(F.col("v").alias("a"), F.col("least").alias("b")).unionByName(near.select(F.col("u").alias("a"), F.col("least").alias("b")))
         after = kept(_canonical(small, "a", "b"), "edges")
         r = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        drop(now)
+        drop(now, nearest, large, lowest)
         now = after
         if state == (r["n"], r["s"]):
             break

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.graph import components
-from lexspark.llm.storage import kept
+from lexspark.llm.storage import drop, kept
 from lexspark.llm.words import GRAM, DocBatch, map_texts, mix
 
 BAND_ROWS = 4
@@ -198,16 +198,18 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
     entries = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     buckets = kept(entries.groupBy("band", "value").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
     edges = entries.join(buckets, ["band", "value"]).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    return kept(components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+    clusters = kept(components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+    drop(buckets)
+    return clusters
 
 
 def links(df: DataFrame, clusters: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Verified links: (rep, held) with the centre of its cluster if linked to it, and further edges (a, b)."""
     texts = df.select(F.col("doc_id").cast("long").alias("rep"), "text")
     sets = sets_of(texts.join(clusters, "rep"), size, ["cluster", "rep"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
-    sets = kept(sets.where("n > 0"), "sets")
+    sets = kept(sets.where("n > 0"), "sets", release=True)
     centres = sets.where("rep = cluster").select("cluster", F.col("shingles").alias("centre"))
-    members = kept(linked_to_centre(sets.join(centres, "cluster"), percent), "members")
+    members = kept(linked_to_centre(sets.join(centres, "cluster"), percent), "members", release=True)
     blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("members") / BLOCK_MEMBERS)).cast("int")
     sizes = members.groupBy("cluster", "linked").agg(F.sum("n").alias("total"), F.count("*").alias("members")).withColumn("blocks", blocks)
     sizes = sizes.groupBy("cluster").agg(F.max(F.when(F.col("linked"), F.col("blocks"))).alias("held"), F.max(F.when(~F.col("linked"), F.col("blocks"))).alias("loose"))
@@ -220,8 +222,10 @@ def links(df: DataFrame, clusters: DataFrame, size: int, percent: int) -> tuple[
     pairs = F.when(F.col("linked"), towards).otherwise(F.concat(others, across))
     rows = rows.withColumn("own", own).withColumn("pair", F.explode(pairs))
     edges = rows.select("cluster", "pair", "own", "rep", "linked", "shingles").groupBy("cluster", "pair").applyInArrow(block_links(percent), "a long, b long")
-    held = members.where("linked").select("rep", F.col("cluster").alias("held")).distinct()
-    return held, kept(edges, "links")
+    edges = kept(edges, "links", release=True)
+    held = kept(members.where("linked").select("rep", F.col("cluster").alias("held")).distinct(), "held")
+    drop(sets, members, sizes)
+    return held, edges
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +244,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     named = classes.select("f1", "f2", "rep").join(held, "rep", "left").withColumn("node", F.coalesce("held", "rep"))
     named = named.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
     named = kept(named, "named")
+    drop(classes, clusters, held, edges)
     out = table.drop("bands").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = kept(out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))), "components")
+    drop(table, named)
+    return out

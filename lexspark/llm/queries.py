@@ -39,7 +39,7 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), window=20).drop("k")
+    return substring_dedup(table(spark, sf_dir, "documents"), window=20)
 
 
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -23,18 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
+def kept(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation.
+
+    release: the plan shuffled much; ask the driver's JVM to collect it, so that Spark's cleaner
+    deletes its shuffle files now and not at some later collection.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lexspark_path = path
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that kept() wrote and that no plan still reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.lexspark_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that kept() wrote and that no plan still reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.lexspark_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.storage import kept
+from lexspark.llm.storage import drop, kept
 from lexspark.llm.words import GRAM, SLICE_BYTES, DocBatch, later, map_texts, mix, sliced, within
 
 ANCHOR = 6
@@ -80,16 +80,20 @@ def _runs(mask_or_keys: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def shrunk(df: DataFrame) -> DataFrame:
+def columns_of(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in names)
+
+
+def shrunk(df: DataFrame, carried: list[str]) -> DataFrame:
     """The rows with their text as compressed bytes: what the joins below move."""
-    kind = df.schema["doc_id"].dataType.simpleString()
+    own = ["doc_id", "d", "k", *carried]
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
         body = pa.array([None if t is None else pack.compress(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), part.column("k"), body], ["doc_id", "d", "k", "body"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in own), body], [*own, "body"])
 
-    return map_texts(df.select("doc_id", "d", "k", "text"), one, f"doc_id {kind}, d long, k long, body binary")
+    return map_texts(df.select(*own, "text"), one, columns_of(df, own) + ", body binary")
 
 
 def texts_of(bodies: pa.Array) -> pa.Array:
@@ -99,16 +103,16 @@ def texts_of(bodies: pa.Array) -> pa.Array:
 
 BLOCK = pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("windows", pa.binary())])
 SPAN = pa.struct([("start", pa.int32()), ("n", pa.int32())])
-PARSED = "doc_id {kind}, d long, k long, n_words long, body binary, sha string, own array<struct<start:int,n:int>>, blocks array<struct<start:int,n:int,anchor:bigint,content:bigint,windows:binary>>"
+PARSED = "n_words long, body binary, sha string, own array<struct<start:int,n:int>>, blocks array<struct<start:int,n:int,anchor:bigint,content:bigint,windows:binary>>"
 
 
 def _lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
 
 
-def parse(df: DataFrame, window: int) -> DataFrame:
+def parse(df: DataFrame, window: int, carried: list[str], with_text: bool) -> DataFrame:
     """Blocks of each document that may occur in others, windows it repeats itself, and for documents with neither the result."""
-    kind = df.schema["doc_id"].dataType.simpleString()
+    keys = ["doc_id", "d", "k", *carried]
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
         bodies = part.column("body")
@@ -145,15 +149,16 @@ def parse(df: DataFrame, window: int) -> DataFrame:
         block_list = _lists(np.bincount(doc[s][s_start], minlength=batch.n_docs), pa.StructArray.from_arrays(fields, fields=list(BLOCK)))
 
         sha = [None if o else digest(t, None)[1] for t, o in zip(texts.to_pylist(), open_, strict=True)]
-        left = [b if o else None for b, o in zip(bodies.to_pylist(), open_, strict=True)]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), part.column("k"), pa.array(batch.n_words), pa.array(left, pa.binary()), pa.array(sha, pa.string()), own_list, block_list], ["doc_id", "d", "k", "n_words", "body", "sha", "own", "blocks"])
+        left = [b if o or with_text else None for b, o in zip(bodies.to_pylist(), open_, strict=True)]
+        found = [pa.array(batch.n_words), pa.array(left, pa.binary()), pa.array(sha, pa.string()), own_list, block_list]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *found], [*keys, "n_words", "body", "sha", "own", "blocks"])
 
     def run(batches):
         for part in sliced(batches, "body", SLICE_BYTES // 2):
             if part.num_rows:
                 yield one(part)
 
-    return df.select("doc_id", "d", "k", "body", "hits").mapInArrow(run, PARSED.format(kind=kind))
+    return df.select(*keys, "body", "hits").mapInArrow(run, columns_of(df, keys) + ", " + PARSED)
 
 
 #: Python's own split() would cut at more characters than the six that part words here.
@@ -173,9 +178,9 @@ def digest(text: str | None, removed: np.ndarray | None) -> tuple[str, str]:
     return joined.decode(), hashlib.sha256(joined).hexdigest()
 
 
-def finish(df: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """Remove what the spans of windows cover."""
-    kind = df.schema["doc_id"].dataType.simpleString()
+def finish(df: DataFrame, window: int, carried: list[str], with_text: bool) -> DataFrame:
+    """Remove what the spans of windows cover; a text that loses nothing stays as it is, any other is its words joined by spaces."""
+    keys = ["doc_id", *carried]
 
     def run(batches):
         for part in sliced(batches, "body", SLICE_BYTES):
@@ -192,10 +197,26 @@ def finish(df: DataFrame, window: int, with_text: bool) -> DataFrame:
                 left, hashed = digest(t.as_py(), gone)
                 removed.append(int(gone.sum()))
                 sha.append(hashed)
-                text.append(left if with_text and gone.any() else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k"), part.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())], ["doc_id", "k", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                text.append((left if gone.any() else t.as_py()) if with_text else None)
+            found = [part.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *found], [*keys, *RESULT])
+
+    return df.select(*keys, "n_words", "body", "own", "spans").mapInArrow(run, columns_of(df, keys) + ", n_words long, n_removed long, kept_sha256 string, kept_text string")
+
+
+RESULT = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
+def untouched(df: DataFrame, carried: list[str]) -> DataFrame:
+    """Rows of documents that lose nothing, with their text where it was kept."""
+    keys = ["doc_id", *carried]
+
+    def run(batches):
+        for part in sliced(batches, "body", SLICE_BYTES):
+            found = [part.column("n_words"), pa.array(np.zeros(part.num_rows, np.int64)), part.column("sha"), texts_of(part.column("body"))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *found], [*keys, *RESULT])
 
-    return df.select("doc_id", "k", "n_words", "body", "own", "spans").mapInArrow(run, f"doc_id {kind}, k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return df.select(*keys, "n_words", "sha", "body").mapInArrow(run, columns_of(df, keys) + ", n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def split_windows(df: DataFrame) -> DataFrame:
@@ -214,7 +235,7 @@ def split_windows(df: DataFrame) -> DataFrame:
 
 
 def factors(parsed: DataFrame) -> DataFrame:
-    """Spans of windows (d, k, start, n) that occur in an earlier document."""
+    """(d, k, spans): for each document, the spans (start, n) of windows that occur in an earlier one."""
     blocks = parsed.select("d", "k", F.inline("blocks"))
     sources = kept(blocks.groupBy("anchor", "content").agg(F.min("d").alias("source")), "sources")
     contexts = kept(sources.groupBy("anchor").count().where("count > 1").select("anchor"), "contexts")
@@ -224,17 +245,23 @@ def factors(parsed: DataFrame) -> DataFrame:
     windows = kept(split_windows(edges), "windows")
     first = kept(windows.groupBy("anchor", "w").agg(F.min("d").alias("source")), "first")
     single = windows.join(first, ["anchor", "w"]).where("source < d").select("d", "k", "start", F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    spans = kept(whole.unionByName(single).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans", release=True)
+    drop(sources, contexts, windows, first)
+    return spans
 
 
-def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False) -> DataFrame:
-    """Per row of df (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with_text the kept text where words went."""
-    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text")
-    shared = kept(anchors(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
+def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """Per row of df (doc_id, text): doc_id, n_words, n_removed, kept_sha256; with_text also kept_text; carry: further columns of df to return."""
+    carried = {f"c{i}_": c for i, c in enumerate(carry or [])}
+    keep = list(carried)
+    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text", *(F.col(c).alias(a) for a, c in carried.items()))
+    shared = kept(anchors(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "shared", release=True)
     hits = anchors(docs, window).join(shared, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("hits"))
-    parsed = kept(parse(shrunk(docs).join(hits, "k", "left"), window), "parsed")
-    spans = factors(parsed).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "body", "own").join(spans, ["d", "k"], "left")
-    columns = ["doc_id", "k", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    closed = parsed.where("sha IS NOT NULL").select("doc_id", "k", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return closed.unionByName(finish(open_, window, with_text)).select(columns)
+    parsed = kept(parse(shrunk(docs, keep).join(hits, "k", "left"), window, keep, with_text), "parsed", release=True)
+    spans = factors(parsed)
+    drop(shared)
+    open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "body", "own", *keep).join(spans, ["d", "k"], "left")
+    out = untouched(parsed.where("sha IS NOT NULL"), keep).unionByName(finish(open_, window, keep, with_text))
+    if not with_text:
+        out = out.drop("kept_text")
+    return out.select("doc_id", *(F.col(a).alias(c) for a, c in carried.items()), *(c for c in RESULT if with_text or c != "kept_text"))

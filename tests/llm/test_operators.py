@@ -272,7 +272,7 @@ def test_substring_by_brute_force(spark, sf):
     passage = " ".join(f"p{k}" for k in range(60))
     made = [" ".join([*(f"q{rng.randrange(9)}" for _ in range(30)), *passage.split()[rng.randrange(30) :], *(f"r{rng.randrange(9)}" for _ in range(30))]) for _ in range(40)]
     texts = [*texts_of(documents(spark, sf)).values(), *ODD, *ODD, *made, *near_copies(4, 20), "loop " * 200, "a b " * 100]
-    got = substring.substring_dedup(frame(spark, texts)).drop("k").collect()
+    got = substring.substring_dedup(frame(spark, texts)).collect()
     assert sorted(tuple(r) for r in got) == brute_substring(list(enumerate(texts)))
 
 
