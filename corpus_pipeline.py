@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of each group of near duplicates."""
     found = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

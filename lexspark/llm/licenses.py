@@ -276,10 +276,10 @@ def train(background: list[str], rounds: int = 150, copies: int = 8, seed: int =
         s = z / t
         s = s - s.max(axis=1, keepdims=True)
         losses.append(-(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(s)), y[held]].mean() if len(s) else 0)
-    flat = [units([t.replace(". ", " ") for t in TEMPLATES[f]]) for f in families]
-    grams = [[b[n > 1] for b, _, n in [x.features()]][0] for x in flat]
-    bigrams = [np.unique([b[n == 2] for b, _, n in [x.features()]][0]) for x in flat]
-    return LicenceModel(families, weights, row_of, float(grid[int(np.argmin(losses))]), np.unique(np.concatenate(grams)), bigrams)
+    found = [units([t.replace(". ", " ") for t in TEMPLATES[f]]).features() for f in families]
+    strong = np.unique(np.concatenate([b[n > 1] for b, _, n in found]))
+    bigrams = [np.unique(b[n == 2]) for b, _, n in found]
+    return LicenceModel(families, weights, row_of, float(grid[int(np.argmin(losses))]), strong, bigrams)
 
 
 def scan_batch(batch: UnitBatch, model: LicenceModel, threshold: float, containment: float) -> list[list[dict]]:
