@@ -207,9 +207,9 @@ def links(df: DataFrame, clusters: DataFrame, size: int, percent: int) -> tuple[
     """Verified links: (rep, held) with the centre of its cluster if linked to it, and further edges (a, b)."""
     texts = df.select(F.col("doc_id").cast("long").alias("rep"), "text")
     sets = sets_of(texts.join(clusters, "rep"), size, ["cluster", "rep"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
-    sets = kept(sets.where("n > 0"), "sets", release=True)
+    sets = kept(sets.where("n > 0"), "sets")
     centres = sets.where("rep = cluster").select("cluster", F.col("shingles").alias("centre"))
-    members = kept(linked_to_centre(sets.join(centres, "cluster"), percent), "members", release=True)
+    members = kept(linked_to_centre(sets.join(centres, "cluster"), percent), "members")
     blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("members") / BLOCK_MEMBERS)).cast("int")
     sizes = members.groupBy("cluster", "linked").agg(F.sum("n").alias("total"), F.count("*").alias("members")).withColumn("blocks", blocks)
     sizes = sizes.groupBy("cluster").agg(F.max(F.when(F.col("linked"), F.col("blocks"))).alias("held"), F.max(F.when(~F.col("linked"), F.col("blocks"))).alias("loose"))
@@ -222,7 +222,7 @@ def links(df: DataFrame, clusters: DataFrame, size: int, percent: int) -> tuple[
     pairs = F.when(F.col("linked"), towards).otherwise(F.concat(others, across))
     rows = rows.withColumn("own", own).withColumn("pair", F.explode(pairs))
     edges = rows.select("cluster", "pair", "own", "rep", "linked", "shingles").groupBy("cluster", "pair").applyInArrow(block_links(percent), "a long, b long")
-    edges = kept(edges, "links", release=True)
+    edges = kept(edges, "links")
     held = kept(members.where("linked").select("rep", F.col("cluster").alias("held")).distinct(), "held")
     drop(sets, members, sizes)
     return held, edges

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -24,20 +23,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
-def kept(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation.
+#: Has Spark delete the shuffle files of a query when it ends; nothing reads a written plan's shuffles again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release: the plan shuffled much; ask the driver's JVM to collect it, so that Spark's cleaner
-    deletes its shuffle files now and not at some later collection.
-    """
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.lexspark_path = path
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
     return out
 
 

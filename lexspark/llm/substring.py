@@ -245,7 +245,7 @@ def factors(parsed: DataFrame) -> DataFrame:
     windows = kept(split_windows(edges), "windows")
     first = kept(windows.groupBy("anchor", "w").agg(F.min("d").alias("source")), "first")
     single = windows.join(first, ["anchor", "w"]).where("source < d").select("d", "k", "start", F.lit(1).alias("n"))
-    spans = kept(whole.unionByName(single).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans", release=True)
+    spans = kept(whole.unionByName(single).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
     drop(sources, contexts, windows, first)
     return spans
 
@@ -255,9 +255,9 @@ def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False, ca
     carried = {f"c{i}_": c for i, c in enumerate(carry or [])}
     keep = list(carried)
     docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("d"), F.xxhash64("doc_id", "text").alias("k"), "text", *(F.col(c).alias(a) for a, c in carried.items()))
-    shared = kept(anchors(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "shared", release=True)
+    shared = kept(anchors(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     hits = anchors(docs, window).join(shared, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("hits"))
-    parsed = kept(parse(shrunk(docs, keep).join(hits, "k", "left"), window, keep, with_text), "parsed", release=True)
+    parsed = kept(parse(shrunk(docs, keep).join(hits, "k", "left"), window, keep, with_text), "parsed")
     spans = factors(parsed)
     drop(shared)
     open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "body", "own", *keep).join(spans, ["d", "k"], "left")
