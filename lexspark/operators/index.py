@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.analysis import BASIC, Policy, analyze
-from lexspark.functions.layout import spread
+from lexspark.functions.layout import by_key
 
 
 def indexable(pages: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def indexable(pages: DataFrame) -> DataFrame:
 
 
 def term_frequencies(docs: DataFrame, policy: Policy = BASIC) -> DataFrame:
-    """(doc_id, term, tf)."""
-    terms = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(analyze(F.col("text"), policy)).alias("term"))
+    """(doc_id, term, tf). Texts are dealt out by document before they are cut, so their many terms are counted where they are."""
+    terms = by_key(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(analyze(F.col("text"), policy)).alias("term"))
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
