@@ -145,8 +145,8 @@ def fit(stats: DataFrame, labels: DataFrame, max_train: int = 200_000, waves: in
     share = min(1.0, max_train / max(1, usable.count()))
     usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
     y = (F.col("quality") == 1).cast("double").alias("y")
-    train = stats.join(usable.select("doc_id", y), "doc_id").select("stats", "y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).cast("int").alias("fold"))
-    train = kept(train.repartition(PARTS, F.xxhash64("stats")), "train")
+    train = stats.join(usable.select("doc_id", y), "doc_id").select("doc_id", "stats", "y", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS))).cast("int").alias("fold"))
+    train = kept(train.repartition(PARTS, "doc_id").drop("doc_id"), "train")  # by row, not by content: copies spread
 
     moments = summed(train, lambda x, y, fold: np.stack([np.ones(x.shape[1]) * len(x), x.sum(axis=0), (x * x).sum(axis=0)]))
     if moments is None:
