@@ -7,8 +7,9 @@ to them. A host whose distrust exceeds its trust by ``threshold`` (a fully block
 without links has 1) is blocked.
 
 Scale. Pages reduce to distinct host edges by partial aggregation; ranks are a table of
-hosts, never collected, written each round to the shared folder; rounds stop when no rank
-moves by ``tolerance``. Pages meet their host's verdict in a plain join that adaptive
+hosts, never collected, written each round to the shared folder; rounds stop when all that
+is still to come adds at most ``tolerance``, after a number of rounds that grows with the
+logarithm of the hosts. Pages meet their host's verdict in a plain join that adaptive
 execution splits for a hot host. Rules are a short list kept by hand.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule
@@ -19,6 +20,7 @@ give repeated results; other columns are not read; an empty table gives an empty
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from urllib.parse import urljoin
 
@@ -85,24 +87,29 @@ def host_links(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count("*").alias("pages"))
 
 
-def personalised_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int = 50) -> DataFrame:
+def personalised_rank(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_rounds: int | None = None) -> DataFrame:
     """(host, rank) of seeds (host, seed) spread along edges (src, dst, pages); a seed of 1 without links keeps rank 1.
 
-    Each round adds what the last one's change sends on, so a round's cost is that of the hosts still moving.
+    Each round adds what the last one's change sends on, however little a host gets of it. What all
+    later rounds can add, to all hosts together, is at most damping / (1 - damping) of the mass still
+    moving; rounds stop when that is within ``tolerance``, or after ``most_rounds`` where given.
     """
     out_weight = edges.groupBy("src").agg(F.sum("pages").alias("total"))
     steps = kept(edges.join(out_weight, "src").select("src", "dst", (F.col("pages") / F.col("total") * damping).alias("share")), "steps")
     moving = kept(seeds.where("seed > 0").select("host", F.col("seed").alias("rank")), "moving")
     ranks = moving
-    for _ in range(most_rounds):
+    for _ in itertools.count() if most_rounds is None else range(most_rounds):
         sent = moving.join(steps, F.col("host") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("rank"))
-        sent = kept(sent.where(F.col("rank") > tolerance).select(F.col("dst").alias("host"), "rank"), "moving")
-        if sent.isEmpty():
+        sent = kept(sent.where("rank > 0").select(F.col("dst").alias("host"), "rank"), "moving")
+        mass = sent.agg(F.sum("rank").alias("mass")).first()["mass"]
+        if not mass:
             break
         before, ranks = ranks, kept(ranks.unionByName(sent).groupBy("host").agg(F.sum("rank").alias("rank")), "ranks")
         for old in {id(before): before, id(moving): moving}.values():
             drop(old)
         moving = sent
+        if mass * damping / (1 - damping) <= tolerance:
+            break
     return ranks
 
 

@@ -373,6 +373,20 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "block"}
 
 
+def test_rank_diluted_by_a_hub_is_kept(spark):
+    """A blocked host with 10,000 hosts linking to it, and a hub that links to all of them; trust the other way round."""
+    n = 10_000
+    middle = [(i, f"http://m{i}.test/", '<a href="http://bad.test/">x</a>') for i in range(n)]
+    hub = "".join(f'<a href="http://m{i}.test/">x</a>' for i in range(n))
+    pages = [*middle, (n, "http://hub.test/", hub), (n + 1, "http://bad.test/", "")]
+    out = urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "bad.test/")])
+    assert {r["host"]: r["verdict"] for r in out.where(f"page_id >= {n}").collect()} == {"hub.test": "block", "bad.test": "block"}
+    edges = [("portal", f"m{i}", 1) for i in range(n)] + [(f"m{i}", "end", 1) for i in range(n)]
+    ranks = urlfilter.personalised_rank(spark.createDataFrame([("portal", 1.0)], "host string, seed double"), spark.createDataFrame(edges, "src string, dst string, pages long"))
+    got = {r["host"]: r["rank"] for r in ranks.collect()}
+    assert len(got) == n + 2 and got["end"] == pytest.approx(0.85**2) and got["m7"] == pytest.approx(0.85 / n)
+
+
 def test_ranks_equal_power_iteration(spark):
     rng = np.random.default_rng(2)
     n, damping = 12, 0.85
