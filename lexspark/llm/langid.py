@@ -7,12 +7,13 @@ the whole table, by grouped aggregation of the texts' own posteriors, each row's
 part left out. How far declarations can be trusted is estimated the same way.
 
 An extra class, ``und``, has a flat likelihood: texts without letters, or unlike every
-trained language, fall to it and are rejected.
+trained language, fall to it and are rejected. Nothing but the text decides that.
 
 Scale. One pass over the texts; then rows of a few numbers. Counts by host are partial
 aggregates; rows meet them in a plain shuffled join of written tables, which adaptive
 execution splits if one host holds a third of all rows. Text models are fitted on about
-``per_language`` labelled texts of each language.
+``per_language`` labelled texts of each language, and every label has its model: models,
+and the numbers kept for each row, grow with the number of labels.
 
 Defined results: null and empty texts are ``und`` and rejected; where no text is labelled,
 all are ``und`` and those with letters are accepted; a missing host, suffix
@@ -46,6 +47,8 @@ SMOOTHING = 0.2
 INDEPENDENT = 40.0
 HOST_WEIGHT = 4.0
 SUFFIX_WEIGHT = 20.0
+#: Numbers held at once for the languages of rows.
+CELLS = 1 << 20
 MARKUP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
 DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
 
@@ -65,40 +68,52 @@ def trigrams(batch: DocBatch) -> tuple[np.ndarray, np.ndarray]:
     return ((code * GRAM) >> np.uint64(49)).astype(np.int64), doc
 
 
-def train_texts(df: DataFrame, per_language: int = 3000, least: int = 1, most_languages: int = 40) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of trigrams, from rows (text, lang) of which about per_language of each are read."""
-    seen = df.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+def narrow(batches, size: int):
+    """The same rows in slices of at most CELLS numbers, at ``size`` a row."""
+    step = max(1, CELLS // size)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def train_texts(df: DataFrame, per_language: int = 3000, least: int = 1) -> tuple[list[str], np.ndarray]:
+    """Languages and log-probabilities of trigrams, from rows (text, lang) of which about per_language of each are read.
+
+    Every label is modelled; counts by language and bucket are one aggregate.
+    """
+    seen = df.where("lang IS NOT NULL AND length(text) > 0").groupBy("lang").count().collect()
     counts = {r["lang"]: r["count"] for r in seen if r["count"] >= least and r["lang"] != UNKNOWN}
     names = sorted(counts)
     if not names:
         return [], np.zeros((0, BUCKETS))
-    limit = F.element_at(F.create_map(*(x for k in names for x in (F.lit(k), F.lit(round(1e6 * min(1.0, per_language / counts[k])))))), F.col("lang"))
-    sample = df.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit).select("lang", "text").coalesce(8)
+    number = {x: i for i, x in enumerate(names)}
+    limits = df.sparkSession.createDataFrame([(k, round(1e6 * min(1.0, per_language / counts[k]))) for k in names], "lang string, most long")
+    sample = df.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("most")).select("lang", "text")
 
     def run(batches):
-        table = np.zeros((len(names), BUCKETS))
         for part in sliced(batches):
             if part.num_rows:
                 bucket, doc = trigrams(DocBatch.of(part.column("text")))
-                lang = np.array([names.index(x) for x in part.column("lang").to_pylist()])
-                table += np.bincount(lang[doc] * BUCKETS + bucket, minlength=table.size).reshape(table.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], ["table"])
-
-    total = sum(np.frombuffer(r["table"]).reshape(len(names), BUCKETS) for r in sample.mapInArrow(run, "table binary").collect())
+                lang = np.array([number[x] for x in part.column("lang").to_pylist()])
+                key, n = np.unique(lang[doc] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    counted = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(names) * BUCKETS)
+    total[counted.column("key").to_numpy()] = counted.column("n").to_numpy()
+    total = total.reshape(len(names), BUCKETS)
     share = total / np.maximum(total.sum(axis=1, keepdims=True), 1)
     return names, np.log((1 - SMOOTHING) * share + SMOOTHING / BUCKETS)
 
 
 def evidence(df: DataFrame, names: list[str], model: np.ndarray, markup: bool) -> DataFrame:
     """Add to rows (row key columns, text, declared) the texts' log-likelihoods per language; ``markup``: text is HTML."""
-    shared = df.sparkSession.sparkContext.broadcast(model.T.copy())
+    shared = df.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in df.columns if c not in ("text", "declared")]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried) + ", declared string, n_trigrams long, likelihood array<double>, own array<double>"
 
     def run(batches):
-        for part in sliced(batches):
-            if not part.num_rows:
-                continue
+        for part in narrow(sliced(batches), len(names) + 1):
             texts, declared = part.column("text"), part.column("declared")
             if markup:
                 raw = texts.to_pylist()
@@ -110,7 +125,7 @@ def evidence(df: DataFrame, names: list[str], model: np.ndarray, markup: bool) -
             n = np.bincount(doc, minlength=batch.n_docs)
             mean = np.full((batch.n_docs, len(names) + 1), FLAT)
             for i in range(len(names)):
-                mean[:, i] = np.bincount(doc, weights=shared.value[bucket, i], minlength=batch.n_docs) / np.maximum(n, 1)
+                mean[:, i] = np.bincount(doc, weights=shared.value[i][bucket], minlength=batch.n_docs) / np.maximum(n, 1)
             mean[n == 0, :-1] = FLAT - 1
             score = mean * np.minimum(np.maximum(n, 1), INDEPENDENT)[:, None]
             p = np.exp(score - score.max(axis=1, keepdims=True))
@@ -126,7 +141,11 @@ def _sum(column: str, size: int, weight: Column | None = None) -> Column:
 
 
 def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFrame:
-    """Posterior from rows of evidence() with columns ``host`` and ``suffix``: adds lang, confidence, text_lang, accepted."""
+    """Posterior from rows of evidence() with columns ``host`` and ``suffix``: adds lang, confidence, text_lang, accepted.
+
+    A row is accepted if by its text alone all languages together have at least ``min_confidence``
+    against ``und``; its language is then the likeliest by all evidence, however close others come.
+    """
     size = len(names) + 1
     table = kept(df, "evidence")
     host = kept(table.where("host IS NOT NULL").groupBy("host").agg(_sum("own", size).alias("host_sum")), "hosts")
@@ -147,9 +166,7 @@ def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFr
     def run(batches):
         suffixes, total, trust = shared.value
         flat = (total + 1) / (total + 1).sum()
-        for part in batches:
-            if not part.num_rows:
-                continue
+        for part in narrow(batches, size):
             own = np.array(part.column("own").to_pylist(), float).reshape(-1, size)
             score = np.array(part.column("likelihood").to_pylist(), float).reshape(-1, size)
             text_lang = labels[score.argmax(axis=1)]
@@ -165,9 +182,9 @@ def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFr
             n = part.column("n_trigrams").to_numpy()
             p = np.exp(score - score.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            best = np.where(n > 0, p.argmax(axis=1), size - 1)
+            ok = (n > 0) & (own[:, :-1].sum(axis=1) >= min_confidence) if names else n > 0
+            best = np.where(ok, p[:, :-1].argmax(axis=1), size - 1) if names else np.zeros(len(p), np.int64)
             confidence = p[np.arange(len(p)), best]
-            ok = (best < size - 1) & (confidence >= min_confidence) if names else n > 0
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(labels[best].tolist(), pa.string()), pa.array(confidence), pa.array(text_lang.tolist(), pa.string()), pa.array(ok)], [*carried, "lang", "confidence", "text_lang", "accepted"])
 
     return table.join(host, "host", "left").select(*df.columns, "host_sum").mapInArrow(run, schema)

@@ -336,6 +336,25 @@ def test_host_prior_decides_short_texts(spark, sf):
     assert out[99] == "de"
 
 
+def test_every_labelled_language_has_a_model(spark):
+    """60 languages, each in a script of its own, the last 15 with fewer texts."""
+    rng = random.Random(3)
+    script = lambda i: " ".join("".join(chr(0x4E00 + 64 * i + rng.randrange(24)) for _ in range(rng.randint(2, 6))) for _ in range(40))
+    rows = [(100 * i + j, script(i), f"l{i:02d}", "s") for i in range(60) for j in range(3 if i < 45 else 2)]
+    out = langid.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(out) == len(rows) and all(r["accepted"] and r["lang"] == r["text_lang"] == f"l{r['doc_id'] // 100:02d}" for r in out)
+
+
+def test_languages_alike_are_not_rejected(spark):
+    """Three labels share their texts: none has half of the posterior, but all are clean."""
+    words = "the quick brown fox jumps over the lazy dog and runs back to the house".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(20)]
+    rows = [(100 * i + j, t, lang, "s") for i, lang in enumerate(("bs", "hr", "sr")) for j, t in enumerate(texts)] + [(900, "123 !!", "hr", "s")]
+    out = {r["doc_id"]: r["accepted"] for r in langid.document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, ok in out.items() if not ok} == {900}
+
+
 # --- 8
 
 
