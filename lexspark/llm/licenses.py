@@ -5,7 +5,9 @@ words), bigrams and trigrams of a unit feed a sparse multinomial logistic regres
 licence families and a class ``none``. It is trained here on licence notices, their
 variations, and bounded samples of the scanned corpus as ``none``; a temperature fitted on
 held-out variations calibrates it. A prediction counts only if the family's templates hold
-enough of the unit's bigrams.
+enough of the unit's bigrams. So that a notice inside a longer unit is found, the stretches of
+a unit in which enough of one template's bigrams stand together are classified by themselves;
+of stretches that overlap, the one with most bigrams of its template counts.
 
 n-grams the training never saw weigh nothing, so a unit without a known bigram or trigram
 is ``none`` exactly; only the others are scored. One pass over the rows, no shuffle.
@@ -30,6 +32,10 @@ from lexspark.llm.words import DocBatch, map_texts
 
 NONE = "none"
 BUCKETS = 1 << 18
+#: As many bigrams of one template close together are its notice, however much longer the template is.
+SURE = 12
+#: A bigram in the templates of more families than this tells nothing by itself.
+FEW = 3
 #: What notices of each family say (titles, grants, SPDX lines).
 TEMPLATES = {
     "apache-2.0": [
@@ -172,8 +178,8 @@ class UnitBatch(DocBatch):
             new[1:] = (before[starts[1:]] > before[ends[:-1]]) | (self.doc_of_word[1:] != self.doc_of_word[:-1])
         return np.cumsum(new)
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket, unit and n of every n-gram, n from 1 to 3, inside units."""
+    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, unit, n and first word of every n-gram, n from 1 to 3, inside units."""
         unit, out = self.unit_of_word, []
         for n in (1, 2, 3):
             at, h = self.grams(n)
@@ -182,7 +188,7 @@ class UnitBatch(DocBatch):
             if n == 1:
                 rare = ~np.isin(h, common_hashes())
                 at, h = at[rare], h[rare]
-            out.append(((h >> np.uint64(64 - 18)).astype(np.int64), unit[at], np.full(len(at), n)))
+            out.append(((h >> np.uint64(64 - 18)).astype(np.int64), unit[at], np.full(len(at), n), at))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -202,6 +208,21 @@ class LicenceModel:
     temperature: float
     strong: np.ndarray  # buckets of bigrams and trigrams of templates
     template_bigrams: list[np.ndarray]
+    templates: list[tuple[int, np.ndarray]]  # family and bigrams of each template, in order
+
+    @cached_property
+    def known_bigrams(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.template_bigrams))
+
+    @cached_property
+    def telling(self) -> np.ndarray:
+        """Which known bigrams stand in the templates of few families."""
+        return sum(np.isin(self.known_bigrams, b).astype(int) for b in self.template_bigrams) <= FEW
+
+    @cached_property
+    def membership(self) -> np.ndarray:
+        """Which known bigrams each template has."""
+        return np.stack([np.isin(self.known_bigrams, b) for _, b in self.templates])
 
     def probabilities(self, bucket: np.ndarray, unit: np.ndarray, n_units: int) -> np.ndarray:
         row = self.row_of[bucket]
@@ -237,7 +258,7 @@ def train(background: list[str], rounds: int = 150, copies: int = 8, seed: int =
     texts = [" ".join(t.split()).rstrip(".!?") for t, _ in examples]
     y = np.array([k for _, k in examples])
     batch = units([t.replace(". ", " ").replace("! ", " ").replace("? ", " ") for t in texts])
-    bucket, unit, _ = batch.features()
+    bucket, unit, _, _ = batch.features()
     doc = np.zeros(int(unit.max()) + 1 if len(unit) else 0, np.int64)
     doc[batch.unit_of_word] = batch.doc_of_word
     example = doc[unit]
@@ -277,9 +298,39 @@ def train(background: list[str], rounds: int = 150, copies: int = 8, seed: int =
         s = s - s.max(axis=1, keepdims=True)
         losses.append(-(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(s)), y[held]].mean() if len(s) else 0)
     found = [units([t.replace(". ", " ") for t in TEMPLATES[f]]).features() for f in families]
-    strong = np.unique(np.concatenate([b[n > 1] for b, _, n in found]))
-    bigrams = [np.unique(b[n == 2]) for b, _, n in found]
-    return LicenceModel(families, weights, row_of, float(grid[int(np.argmin(losses))]), strong, bigrams)
+    strong = np.unique(np.concatenate([b[n > 1] for b, _, n, _ in found]))
+    bigrams = [np.unique(b[n == 2]) for b, _, n, _ in found]
+    texts = [(i, units([t.replace(". ", " ")]).features()) for i, f in enumerate(families) for t in TEMPLATES[f]]
+    singles = [(i, b[n == 2]) for i, (b, _, n, _) in texts if (n == 2).any()]
+    return LicenceModel(families, weights, row_of, float(grid[int(np.argmin(losses))]), strong, bigrams, singles)
+
+
+def stretches(at: np.ndarray, key: np.ndarray, unit: np.ndarray, model: LicenceModel, containment: float) -> list[tuple[int, int, int, int, float]]:
+    """Parts of units that hold a template: first word, last word, family, template bigrams found, their share of the part.
+
+    at, key and unit are those of the batch's known bigrams, in text order. A part is at most as long
+    as its template, and holds ``containment`` of the template's bigrams, or of SURE bigrams where it is
+    longer; at least one of them must be telling.
+    """
+    out = set()
+    for t, (family, bigrams) in enumerate(model.templates):
+        mine = np.flatnonzero(model.membership[t, key])
+        length = len(bigrams)
+        need = int(np.ceil(containment * min(len(np.unique(bigrams)), SURE) - 1e-9))
+        if len(mine) < need:
+            continue
+        pos, ids, place = at[mine], key[mine], unit[mine]
+        stop = np.minimum(np.searchsorted(pos, pos + length), np.searchsorted(place, place, "right"))
+        for i in np.flatnonzero(stop - np.arange(len(pos)) >= need):
+            for j in range(int(stop[i]), int(i) + need - 1, -1):
+                own = np.unique(ids[i:j])
+                share = len(own) / (pos[j - 1] - pos[i] + 1)
+                if len(own) < need:
+                    break
+                if share >= containment and model.telling[own].any():
+                    out.add((int(pos[i]), int(pos[j - 1]) + 1, family, len(own), float(share)))
+                    break
+    return sorted(out)
 
 
 def scan_batch(batch: UnitBatch, model: LicenceModel, threshold: float, containment: float) -> list[list[dict]]:
@@ -287,23 +338,56 @@ def scan_batch(batch: UnitBatch, model: LicenceModel, threshold: float, containm
     out: list[list[dict]] = [[] for _ in range(batch.n_docs)]
     if not len(batch.word_hashes):
         return out
-    bucket, unit, n = batch.features()
+    bucket, unit, n, at = batch.features()
     likely = np.unique(unit[(n > 1) & np.isin(bucket, model.strong)])
     if not len(likely):
         return out
     own = np.isin(unit, likely)
-    bucket, n = bucket[own], n[own]
-    index = np.searchsorted(likely, unit[own])
+    bucket, unit, n, at = bucket[own], unit[own], n[own], at[own]
+    index = np.searchsorted(likely, unit)
     p = model.probabilities(bucket, index, len(likely))
     first = np.searchsorted(batch.unit_of_word, likely)
     last = np.searchsorted(batch.unit_of_word, likely, "right") - 1
     starts, ends = batch.spans
+    found: dict[int, list[tuple[int, int, int, float, float]]] = {}  # of a unit: first word, last word, family, probability, containment
+
+    known = np.flatnonzero((n == 2) & np.isin(bucket, model.known_bigrams))  # bigrams are in text order
+    key = np.searchsorted(model.known_bigrams, bucket[known])
+    near = np.isin(index[known], index[known][model.telling[key]])
+    known, key = known[near], key[near]
+    parts = stretches(at[known], key, index[known], model, containment)
+    if parts:
+        by_word = np.argsort(at, kind="stable")
+        ordered = at[by_word]
+        inside, part_of = [], []
+        for i, (a, b, *_) in enumerate(parts):
+            grams = by_word[np.searchsorted(ordered, a) : np.searchsorted(ordered, b, "right")]
+            grams = grams[at[grams] + n[grams] - 1 <= b]
+            inside.append(grams)
+            part_of.append(np.full(len(grams), i))
+        free = np.ones(len(starts), bool)
+        q = model.probabilities(bucket[np.concatenate(inside)], np.concatenate(part_of), len(parts))
+        for i in sorted(range(len(parts)), key=lambda i: (-parts[i][3], parts[i][1] - parts[i][0], parts[i][0])):
+            a, b, k, _, share = parts[i]
+            if q[i, k] >= threshold and q[i, k] >= q[i].max() and free[a : b + 1].all():
+                free[a : b + 1] = False
+                found.setdefault(int(np.searchsorted(first, a, "right")) - 1, []).append((a, b, k, float(q[i, k]), share))
+
     for i in np.flatnonzero(p[:, :-1].max(axis=1) >= threshold):
         k = int(p[i, :-1].argmax())
         bigrams = bucket[(index == i) & (n == 2)]
         held = float(np.isin(bigrams, model.template_bigrams[k]).mean()) if len(bigrams) else 0.0
         if held >= containment:
-            out[batch.doc_of_word[first[i]]].append({"start": int(starts[first[i]]), "end": int(ends[last[i]]), "family": model.families[k], "probability": float(p[i, k]), "containment": held})
+            whole = (int(first[i]), int(last[i]), k, float(p[i, k]), held)
+            inner = found.get(int(i), [])
+            families = {x[2] for x in inner}
+            if families <= {k}:
+                found[int(i)] = [whole]
+            elif k not in families:
+                inner.append(whole)
+    for i in sorted(found):
+        for a, b, k, probability, share in sorted(found[i]):
+            out[batch.doc_of_word[a]].append({"start": int(starts[a]), "end": int(ends[b]), "family": model.families[k], "probability": probability, "containment": share})
     return out
 
 

@@ -249,6 +249,20 @@ def test_near_misses_are_no_licence():
     assert [[n["family"] for n in f] for f in licenses.scan_batch(licenses.units(varied), model, 0.5, 0.6)] == [["mit"], ["bsd"], ["apache-2.0"]]
 
 
+def test_notices_inside_long_lines(spark):
+    notices = NOTICES | {"mit": "This project is released under the MIT License by its authors and may be used freely in commercial products", "bsd": "Redistribution and use in source and binary forms with or without modification are permitted provided"}
+    rng = random.Random(9)
+    words = "river table window garden music summer bread stone letter morning yellow quiet market paper of the in and to".split()
+    filler = lambda: " ".join(rng.choices(words, k=40))
+    lines = [(f"{filler()} {n.rstrip('.')} {filler()}", [f]) for f, n in notices.items()]
+    lines += [(notices["mit"], ["mit"]), ("(c) 2020 Example Corp All rights reserved Privacy Terms Contact", ["all-rights-reserved"])]
+    lines += [(f"{filler()} Released under the MIT License {filler()} Licensed under CC BY-NC 4.0 {filler()}", ["cc-by-nc-4.0", "mit"])]
+    lines += [(f"{filler()} {x} {filler()}", []) for x in (*licenses.NEAR_MISSES, "the bar was licensed under the usual terms of the city", "")]
+    found = {r["doc_id"]: r for r in licenses.scan_licences(frame(spark, [t for t, _ in lines])).collect()}
+    assert [r["families"] for _, r in sorted(found.items())] == [f for _, f in lines]
+    assert [lines[6][0][n["start"] : n["end"]] for n in sorted(found.items())[6][1]["notices"]] == ["released under the MIT License"]
+
+
 # --- 5
 
 
