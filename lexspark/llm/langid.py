@@ -76,8 +76,15 @@ def narrow(batches, size: int):
             yield batch.slice(at, step)
 
 
+def sample_of(df: DataFrame, counts: dict[str, int], per_language: int) -> DataFrame:
+    """About per_language rows (text, lang) of each language in counts: drawn by doc_id and text, so that copies of a text are drawn singly; by text where df has no doc_id."""
+    limits = df.sparkSession.createDataFrame([(k, round(1e6 * min(1.0, per_language / n))) for k, n in counts.items()], "lang string, most long")
+    drawn = F.xxhash64(*(c for c in ("doc_id", "text") if c in df.columns))
+    return df.join(F.broadcast(limits), "lang").where(F.pmod(drawn, F.lit(1_000_000)) < F.col("most")).select("lang", "text")
+
+
 def train_texts(df: DataFrame, per_language: int = 3000, least: int = 1) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities of trigrams, from rows (text, lang) of which about per_language of each are read.
+    """Languages and log-probabilities of trigrams, from rows (text, lang, and doc_id where there is one) of which about per_language of each are read.
 
     Every label is modelled; counts by language and bucket are one aggregate.
     """
@@ -87,8 +94,7 @@ def train_texts(df: DataFrame, per_language: int = 3000, least: int = 1) -> tupl
     if not names:
         return [], np.zeros((0, BUCKETS))
     number = {x: i for i, x in enumerate(names)}
-    limits = df.sparkSession.createDataFrame([(k, round(1e6 * min(1.0, per_language / counts[k]))) for k in names], "lang string, most long")
-    sample = df.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("most")).select("lang", "text")
+    sample = sample_of(df, counts, per_language)
 
     def run(batches):
         for part in sliced(batches):
@@ -200,7 +206,7 @@ def address(url: Column) -> tuple[Column, Column]:
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): lang, confidence, what was declared and what the text alone says."""
-    names, model = train_texts(labelled.select("text", "lang"))
+    names, model = train_texts(labelled.select("doc_id", "text", "lang"))
     host, suffix = address(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), suffix.alias("suffix"), F.col("html").alias("text"), F.lit(None).cast("string").alias("declared"))
     return fuse(evidence(rows, names, model, markup=True), names).drop("suffix")
@@ -208,6 +214,6 @@ def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def document_languages(docs: DataFrame) -> DataFrame:
     """Per row of documents (doc_id, text, lang, source): the columns of page_languages, by doc_id and k (hash of the row's text); the source stands for the host."""
-    names, model = train_texts(docs.select("text", "lang"))
+    names, model = train_texts(docs.select("doc_id", "text", "lang"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"), F.coalesce("text", F.lit("")).alias("text"), F.lower(F.col("lang").cast("string")).alias("declared"))
     return fuse(evidence(rows, names, model, markup=False), names).drop("suffix")

@@ -369,6 +369,13 @@ def test_languages_alike_are_not_rejected(spark):
     assert {i for i, ok in out.items() if not ok} == {900}
 
 
+def test_copies_of_a_text_are_drawn_singly(spark):
+    """A third of a language's rows are one text."""
+    rows = [(i, "one text" if i % 3 == 0 else f"text {i}", "en") for i in range(30_000)]
+    got = [r["text"] for r in langid.sample_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"), {"en": 30_000}, 3000).collect()]
+    assert 2700 < len(got) < 3300 and 850 < got.count("one text") < 1150
+
+
 # --- 8
 
 
