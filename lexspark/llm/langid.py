@@ -9,9 +9,9 @@ part left out. How far declarations can be trusted is estimated the same way.
 An extra class, ``und``, has a flat likelihood: texts without letters, or unlike every
 trained language, fall to it and are rejected. Nothing but the text decides that.
 
-Scale. One pass over the texts; then rows of a few numbers. Counts by host are partial
-aggregates; rows meet them in a plain shuffled join of written tables, which adaptive
-execution splits if one host holds a third of all rows. Text models are fitted on about
+Scale. One pass over the texts; then rows of a few numbers. Counts by host and by
+suffix are partial aggregates; rows meet them in plain shuffled joins of written tables, which
+adaptive execution splits if one host or suffix holds a third of all rows. Text models are fitted on about
 ``per_language`` labelled texts of each language, and every label has its model: models,
 and the numbers kept for each row, grow with the number of labels.
 
@@ -155,28 +155,26 @@ def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFr
     size = len(names) + 1
     table = kept(df, "evidence")
     host = kept(table.where("host IS NOT NULL").groupBy("host").agg(_sum("own", size).alias("host_sum")), "hosts")
-    suffixes = table.where("suffix IS NOT NULL").groupBy("suffix").agg(_sum("own", size).alias("suffix_sum")).where(F.length("suffix") <= 24)
-    suffixes = suffixes.orderBy(F.desc(F.aggregate("suffix_sum", F.lit(0.0), lambda a, x: a + x)), "suffix").limit(2000)  # of a small set; rarer ones lean on the whole table
-    suffixes = {r["suffix"]: np.array(r["suffix_sum"]) for r in suffixes.collect()}
+    suffix = kept(table.where("suffix IS NOT NULL").groupBy("suffix").agg(_sum("own", size).alias("suffix_sum")), "suffixes")
     total = np.array(table.agg(_sum("own", size).alias("s")).first()["s"] or [0.0] * size, float)
     known = {n: i for i, n in enumerate(names)}
     trust = np.ones((size, size + 1))  # row: language of the text; column: what is declared, the last: something else
     for r in table.where(F.col("declared").isNotNull()).groupBy(F.when(F.col("declared").isin(names), F.col("declared")).alias("d")).agg(_sum("own", size).alias("s")).collect():
         trust[:, known.get(r["d"], size)] += np.array(r["s"])
     trust /= trust.sum(axis=1, keepdims=True)
-    shared = df.sparkSession.sparkContext.broadcast((suffixes, total, trust))
+    shared = df.sparkSession.sparkContext.broadcast((total, trust))
     carried = [c for c in df.columns if c not in ("likelihood", "own")]
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried) + ", lang string, confidence double, text_lang string, accepted boolean"
     labels = np.array([*names, UNKNOWN])
 
     def run(batches):
-        suffixes, total, trust = shared.value
+        total, trust = shared.value
         flat = (total + 1) / (total + 1).sum()
         for part in narrow(batches, size):
             own = np.array(part.column("own").to_pylist(), float).reshape(-1, size)
             score = np.array(part.column("likelihood").to_pylist(), float).reshape(-1, size)
             text_lang = labels[score.argmax(axis=1)]
-            rows = [(suffixes.get(s), h) for s, h in zip(part.column("suffix").to_pylist(), part.column("host_sum").to_pylist(), strict=True)]
+            rows = list(zip(part.column("suffix_sum").to_pylist(), part.column("host_sum").to_pylist(), strict=True))
             below = np.array([np.zeros(size) if s is None else s for s, _ in rows]) - own * np.array([s is not None for s, _ in rows])[:, None]
             prior = np.maximum(below, 0) + SUFFIX_WEIGHT * flat
             prior /= prior.sum(axis=1, keepdims=True)
@@ -193,7 +191,7 @@ def fuse(df: DataFrame, names: list[str], min_confidence: float = 0.5) -> DataFr
             confidence = p[np.arange(len(p)), best]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array(labels[best].tolist(), pa.string()), pa.array(confidence), pa.array(text_lang.tolist(), pa.string()), pa.array(ok)], [*carried, "lang", "confidence", "text_lang", "accepted"])
 
-    return table.join(host, "host", "left").select(*df.columns, "host_sum").mapInArrow(run, schema)
+    return table.join(host, "host", "left").join(suffix, "suffix", "left").select(*df.columns, "host_sum", "suffix_sum").mapInArrow(run, schema)
 
 
 def address(url: Column) -> tuple[Column, Column]:

@@ -376,6 +376,24 @@ def test_copies_of_a_text_are_drawn_singly(spark):
     assert 2700 < len(got) < 3300 and 850 < got.count("one text") < 1150
 
 
+def test_every_suffix_has_its_prior(spark, sf):
+    """2,100 suffixes: the rarest, at the end of the alphabet, still decides an ambiguous text."""
+    names, model = langid.train_texts(documents(spark, sf).select("text", "lang"))
+    german = " ".join(t for t in texts_of(documents(spark, sf).where("lang = 'de'")).values())[:1000]
+    english = " ".join(t for t in texts_of(documents(spark, sf).where("lang = 'en'")).values())[:1000]
+    rows = [(2 * i + k, english, None, f"a{i}", None) for i in range(2100) for k in range(2)]
+    rows += [(9000, german, None, "zz", None), (9001, "xq", None, "zz", None), (9002, "xq", None, "a1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, declared string")
+    size = len(names) + 1
+    found = langid.evidence(df, names, model, markup=False)
+    # the last two rows' texts say nothing
+    even = langid.F.array(*[langid.F.lit(-1.0)] * size), langid.F.array(*[langid.F.lit(1.0 / (size - 1))] * (size - 1), langid.F.lit(0.0))
+    blank = langid.F.col("doc_id") > 9000
+    found = found.withColumn("likelihood", langid.F.when(blank, even[0]).otherwise(langid.F.col("likelihood"))).withColumn("own", langid.F.when(blank, even[1]).otherwise(langid.F.col("own")))
+    out = {r["doc_id"]: r["confidence"] for r in langid.fuse(found.withColumn("n_trigrams", langid.F.lit(1).cast("long")), names).where("doc_id > 9000").select("doc_id", "confidence", "lang").collect()}
+    assert out[9001] < 0.97 < 0.99 < out[9002]
+
+
 # --- 8
 
 
