@@ -1,6 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by lookup of anchored blocks and windows.
 
-Every document is factored against all documents before it. The reference is indexed by
+Every document is held against all documents before it. No greedy relative Lempel-Ziv parse
+is done: a longest match would need the earlier text itself at each step, where blocks
+and windows are looked up by hash in shuffled joins. No factor runs past its block; the
+words removed are the same, as each window is found by itself or in its block. The
+reference is indexed by
 blocks cut where the content says: each window of ``window`` words belongs to the least
 hash among its short n-grams, and a maximal run of windows with one such hash is a
 block, so equal passages are cut into equal blocks wherever they stand. A block whose
