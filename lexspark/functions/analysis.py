@@ -12,7 +12,10 @@ import json
 from dataclasses import asdict, dataclass, fields
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -143,6 +146,11 @@ def fold(token: Column) -> Column:
 
 def tokens(text: Column, policy: Policy = BASIC) -> Column:
     """Runs of letters and digits, lower-cased and folded as the policy says."""
+    return raw_tokens(text, policy, policy.fold)
+
+
+def raw_tokens(text: Column, policy: Policy = BASIC, folded: bool = False) -> Column:
+    """Tokens before folding, unless asked for: letters fold to letters, so no token's ends move."""
     text = F.coalesce(text, F.lit(""))
     if policy.dates:
         text = let(text, normalize_dates)
@@ -150,8 +158,8 @@ def tokens(text: Column, policy: Policy = BASIC) -> Column:
         text = let(text, normalize_numbers)
     if policy.lower:
         text = F.lower(text)
-    if policy.fold:
-        text = let(text, fold)  # letters go to letters, so this moves no token's ends
+    if folded:
+        text = let(text, fold)
         if policy.lower:
             text = F.lower(text)
     return F.regexp_extract_all(text, F.lit(TOKEN), 1)
@@ -220,34 +228,77 @@ def stem_cached(word: str) -> str:
 
 @lru_cache(8)
 def finisher(policy: Policy):
-    """The stages from phrases on as one vectorised function over arrays of tokens: a policy with stems needs Python anyway, and walks each array once."""
+    """The stages from phrases on, for one list of tokens."""
     table = {tuple(k.split()): v for k, v in phrase_rules(policy).items()}
     heads: dict[str, list[tuple[str, ...]]] = {}
     for phrase in sorted(table, key=len, reverse=True):
         heads.setdefault(phrase[0], []).append(phrase)
     stop = tables.STOPWORDS if policy.stopwords else frozenset()
 
-    def one(words) -> list[str]:
-        words, out, i = list(words), [], 0
+    def one(words: list[str]) -> list[str]:
+        out, i = [], 0
         while i < len(words):
             hit = next((p for p in heads.get(words[i], ()) if tuple(words[i : i + len(p)]) == p), None)
             out.extend(table[hit] if hit else (words[i],))
             i += len(hit) if hit else 1
         return [stem_cached(w) if policy.stems else w for w in out if w not in stop]
 
+    return one
+
+
+@lru_cache(8)
+def finished_arrays(policy: Policy):
+    """finisher() as a vectorised function over arrays of tokens: a policy with stems needs Python anyway."""
+    one = finisher(policy)
+
     @F.pandas_udf(ArrayType(StringType()))
     def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda a: None if a is None else one(a))
+        return arrays.map(lambda a: None if a is None else one(list(a)))
 
     return run
 
 
+@lru_cache(8)
+def term_counter(policy: Policy):
+    """A function from lists of raw tokens (Arrow) to (row, term, times) of each row's terms.
+
+    Words are folded, measured and finished once a batch, by their codes; only rows that hold the head of a phrase are walked.
+    """
+    one = finisher(policy)
+    letters = str.maketrans(tables.folding()) if policy.fold else {}
+    heads = {k.split()[0] for k in phrase_rules(policy)}
+
+    def count(lists: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        lengths = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lists)), lengths)
+        coded = lists.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = [w if w.isascii() else w.translate(letters).lower() if policy.lower else w.translate(letters) for w in words]
+        fits = [policy.min_length <= len(w) <= policy.max_length for w in words]
+        final: dict[str, int] = {}
+        number = np.array([final.setdefault(t[0], len(final)) if ok and w not in heads and (t := one([w])) else -1 for w, ok in zip(words, fits, strict=True)], np.int64)
+        if heads:
+            walked = np.unique(row[np.isin(code, [i for i, w in enumerate(words) if w in heads])])
+            ends = np.cumsum(lengths)
+            found = [(r, [final.setdefault(t, len(final)) for t in one([words[c] for c in code[ends[r] - lengths[r] : ends[r]] if fits[c]])]) for r in walked]
+            plain = ~np.isin(row, walked)
+            row = np.concatenate([row[plain], *(np.full(len(t), r) for r, t in found)])
+            number = np.concatenate([number[code[plain]], *(np.array(t, np.int64) for _, t in found)])
+        else:
+            number = number[code]
+        good = number >= 0
+        key, times = np.unique(row[good] * max(len(final), 1) + number[good], return_counts=True)
+        terms = pa.array(list(final), pa.string())
+        return pa.array(key // max(len(final), 1)), terms.take(pa.array(key % max(len(final), 1))), pa.array(times, pa.int64())
+
+    return count
+
+
 def analyze(text: Column, policy: Policy = BASIC) -> Column:
     """Index terms of a text, in order. A null text has none. Without stems, all of it is built-in expressions."""
-    out = tokens(text, policy)
-    out = F.filter(out, lambda t: F.length(t).between(policy.min_length, policy.max_length))
+    out = F.filter(tokens(text, policy), lambda t: F.length(t).between(policy.min_length, policy.max_length))
     if policy.stems:
-        return finisher(policy)(out)
+        return finished_arrays(policy)(out)
     if phrase_rules(policy):
         out = let(out, lambda array: replace_phrases(array, policy))
     if policy.stopwords:

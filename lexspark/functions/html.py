@@ -173,6 +173,13 @@ def extract_page(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "text", "links"])
 
 
+@F.pandas_udf(T.ArrayType(LINK))
+def extract_links(pages: pd.Series, bases: pd.Series) -> pd.Series:
+    """The links of each page alone: nothing is dropped or rendered."""
+    found = (links_of(parsed(page if isinstance(page, str) else ""), base if isinstance(base, str) else "") for page, base in zip(pages, bases, strict=True))
+    return pd.Series([[{"url": u, "anchor": a} for u, a in links] for links in found])
+
+
 def title(page: Column) -> Column:
     """The title alone, without Python: text of the first title element, character references of common kinds decoded."""
     raw = F.trim(F.regexp_extract(F.coalesce(page, F.lit("")), r"(?is)<title[^>]*>(.*?)</title\s*>", 1))

@@ -15,13 +15,3 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a key in one partition, in as many partitions as the input has, and at least one a core.
-
-    For keys whose rows are few (a document's id): what is counted by it later needs no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    behind = "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString()
-    return df.repartition(key) if behind else df.repartition(max(cores, df.rdd.getNumPartitions()), key)

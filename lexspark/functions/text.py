@@ -72,9 +72,14 @@ def is_topical(score: Column) -> Column:
     return (score["hits"] >= tables.TOPIC_LEAST_HITS) & (score["density"] >= tables.TOPIC_LEAST_DENSITY)
 
 
+def repair_encoding(text: Column) -> Column:
+    """UTF-8 that was read as cp1252 or Latin-1 and still shows it, read again; else the text as it is. Only texts that show it are sent to Python."""
+    marked = F.contains(text, F.lit("Ã")) | F.contains(text, F.lit("â€"))
+    return F.when(marked, _read_again(F.when(marked, text))).otherwise(text)
+
+
 @F.pandas_udf(StringType())
-def repair_encoding(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as cp1252 or Latin-1 and still shows it, read again; else the text as it is."""
+def _read_again(texts: pd.Series) -> pd.Series:
 
     def one(s):
         if not isinstance(s, str) or not ("Ã" in s or "â€" in s):

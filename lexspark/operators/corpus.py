@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,3 +74,18 @@ def largest(pages: DataFrame, key: str, n: int = 15) -> DataFrame:
 def thin(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """Documents of fewer words, which are followed but not kept."""
     return docs.withColumn("words", word_count(F.col("text"))).where(F.col("words") < least_words)
+
+
+def report_parts(docs: DataFrame, most_domains: int = 20, most_words: int = 50) -> DataFrame:
+    """(part, key, docs, words, bytes) of a corpus report over docs (text, source, language, domain): totals, groups, the domains with most bytes, the commonest words."""
+    freq = word_frequencies(docs)
+    sums = grouped(docs, {"all": F.lit("all"), "source": F.col("source"), "language": F.col("language"), "domain": F.col("domain")}).withColumnRenamed("kind", "part")
+    domains = sums.where("part = 'domain'").orderBy(F.desc("bytes"), "key").limit(most_domains)
+    words = lambda df, part: df.orderBy(F.desc("freq"), "word").limit(most_words).select(F.lit(part).alias("part"), F.col("word").alias("key"), F.lit(0).cast("long").alias("docs"), F.col("freq").alias("words"), F.lit(0).cast("long").alias("bytes"))
+    return sums.where("part <> 'domain'").unionByName(domains).unionByName(words(freq, "word")).unionByName(words(freq.where(~report_stopword(F.col("word"))), "plain_word"))
+
+
+def crawled_pages(**crawlers: DataFrame) -> DataFrame:
+    """Pages of several crawlers as one table, each row with the name of its crawler; columns that one lacks are null."""
+    parts = [pages.withColumn("crawler_source", F.lit(name)) for name, pages in crawlers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

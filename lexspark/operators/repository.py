@@ -2,36 +2,105 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexspark.functions.text import is_topical, topical_score, word_count
 from lexspark.functions.urls import domain
+from lexspark.storage import drop, kept
 
 ATTEMPTS, BACKOFF, MOST_BACKOFF = 3, 30, 900
 BLOCK_AFTER = 25
 BATCH = 200
+#: Stretches of time in which the holders of a content are counted apart.
+TIME_PARTS = 64
+FEW_ARRIVALS = 200_000
+
+
+def saved_in_order(events: DataFrame) -> DataFrame:
+    """(url, _born) of new URLs by walking few events (url, h, _at) in order, in one task."""
+    kind = events.schema["_at"].dataType["seq"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        holders: Counter = Counter()
+        for batch in batches:
+            born = []
+            for url, h, at in zip(*(batch.column(c).to_pylist() for c in ("url", "h", "_at")), strict=True):
+                if at["_new"] and url not in held:
+                    if holders[h]:
+                        continue
+                    born.append((url, at["seq"]))
+                if url in held:
+                    holders[held[url]] -= 1
+                held[url] = h
+                holders[h] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in born], pa.string()), pa.array([s for _, s in born], to_arrow_type(kind))], ["url", "seq"])
+
+    walked = events.select("url", "h", "_at").repartition(1).sortWithinPartitions("_at").mapInArrow(run, f"url string, seq {kind.simpleString()}")
+    return walked.select("url", F.struct(F.lit(1).alias("_new"), "seq").alias("_born"))
 
 
 def save_outcomes(arrivals: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Arrivals (seq, url, content_hash, ...) with ``outcome``, as if they were saved one by one onto pages (url, content_hash).
-
-    unchanged: the URL is there with this content; updated: with another; duplicate_content: a
-    new URL whose content is there; else saved. A page counts as there from its first arrival
-    that is not a duplicate.
+    """Arrivals (seq, url, content_hash, ...) with ``outcome``, as if they were saved one by one, by seq, onto pages (url, content_hash).
+
+    unchanged: the URL is there with this content; updated: with another, which it held until now;
+    duplicate_content: a new URL whose content some URL holds at that moment; else saved.
+
+    Whether a URL holds a content at some moment depends only on when it was first saved: from
+    then on it holds what arrived last. So only the first saves are looked for, in rounds; each
+    decides all arrivals whose content is certainly held, or certainly not, by URLs decided before.
+    The number of rounds is the longest chain of such decisions. The holders of a content are
+    counted by prefix sums over TIME_PARTS stretches of time, so a content in a third of all
+    arrivals is no single sorted run. Up to FEW_ARRIVALS are walked in order in one task instead,
+    with the same result.
     """
     columns = arrivals.columns
-    rows = arrivals.select("*", F.lit(False).alias("_old"))
+    rows = arrivals.withColumn("_new", F.lit(1))
     if pages is not None:
-        old = pages.select(F.lit(-1).cast(arrivals.schema["seq"].dataType).alias("seq"), "url", "content_hash", F.lit(True).alias("_old"))
+        old = pages.select(F.lit(None).cast(arrivals.schema["seq"].dataType).alias("seq"), "url", "content_hash", F.lit(0).alias("_new"))
         rows = old.unionByName(rows, allowMissingColumns=True)
-    by_url = Window.partitionBy("url").orderBy("seq")
-    by_hash = Window.partitionBy("content_hash").orderBy("seq", "url")
-    rows = rows.withColumn("_first", F.first("url").over(by_hash)).withColumn("_n", F.row_number().over(by_hash))
-    rows = rows.withColumn("_rejected", ~F.col("_old") & (F.col("_n") > 1) & (F.col("_first") != F.col("url")))
-    held = F.last(F.when(~F.col("_rejected"), F.col("content_hash")), ignorenulls=True).over(by_url.rowsBetween(Window.unboundedPreceding, -1))
-    outcome = F.when(held == F.col("content_hash"), "unchanged").when(held.isNotNull(), "updated").when(F.col("_rejected"), "duplicate_content").otherwise("saved")
-    return rows.withColumn("outcome", outcome).where(~F.col("_old")).select(*columns, "outcome")
+    by_url = Window.partitionBy("url").orderBy("_at")
+    tiles = rows.withColumn("_at", F.struct("_new", "seq")).withColumns({"_next": F.lead("_at").over(by_url), "_held": F.lag("content_hash").over(by_url)})
+    tiles = kept(tiles, "arrivals")
+    cuts = tiles.select(F.col("seq").cast("double").alias("t")).approxQuantile("t", [i / TIME_PARTS for i in range(1, TIME_PARTS)], 0.25 / TIME_PARTS)
+    part = lambda at: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= at["seq"].cast("double"))) if cuts else F.lit(0)
+
+    events = tiles.select("url", F.col("content_hash").alias("h"), "_at", "_next")
+    births = kept(events.where("_at._new = 0").select("url", F.col("_at").alias("_born")), "births")
+    open_ = kept(events.where("_at._new = 1").join(births, "url", "left_anti"), "open")  # arrivals of URLs not saved yet, as far as known
+    small = events.limit(FEW_ARRIVALS + 1).count() <= FEW_ARRIVALS
+    if small:
+        births = births.unionByName(saved_in_order(events))
+    while not small and not open_.isEmpty():
+        asked = open_.select("h").distinct()
+        sure = events.join(births, "url").where("_at >= _born").join(asked, "h", "left_semi").select("url", "h", "_at", "_next", F.lit(True).alias("sure"))
+        every = sure.unionByName(open_.withColumn("sure", F.lit(False)))
+        steps = F.array(F.struct(F.col("_at").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("n")), F.struct(F.col("_next").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("n")))
+        steps = every.select("url", "h", "sure", F.inline(steps)).where("at IS NOT NULL").withColumn("part", part(F.col("at")))
+        here = {"sure_n": F.when(F.col("sure"), F.col("n")).otherwise(0), "n": F.col("n")}
+        sums = steps.groupBy("h", "part").agg(*(F.sum(v).alias(k) for k, v in here.items()))
+        before = Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("h", "part", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in here))
+        inside = Window.partitionBy("h", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
+        counted = steps.withColumns({f"{k}_here": F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in here.items()}).where("kind = 1 AND NOT sure").join(sums, ["h", "part"])
+        left = counted.where(F.col("sure_n_before") + F.col("sure_n_here") == 0)
+        left = kept(left.groupBy("url").agg(F.min("at").alias("first"), F.min_by(F.col("n_before") + F.col("n_here") == 0, "at").alias("free")), "left")
+        after = kept(births.unionByName(left.where("free").select("url", F.col("first").alias("_born"))), "births")
+        # what a URL would hold after its first open arrival counts as perhaps held, also where that arrival itself would be a duplicate
+        still = kept(open_.join(left.where("NOT free").select("url", "first"), "url").where("_at >= first").drop("first"), "open")
+        drop(births, open_, left)
+        births, open_ = after, still
+    drop(open_)
+    out = tiles.where("_new = 1").join(births, "url", "left")
+    late = F.col("_at") > F.col("_born")
+    outcome = F.when(late & F.col("_held").eqNullSafe(F.col("content_hash")), "unchanged").when(late, "updated").when(F.col("_at") == F.col("_born"), "saved").otherwise("duplicate_content")
+    return out.withColumn("outcome", outcome).select(*columns, "outcome")
 
 
 def duplicates(pages: DataFrame, known: DataFrame) -> DataFrame:

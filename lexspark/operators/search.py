@@ -6,39 +6,94 @@ is a plan over postings.
 
 from __future__ import annotations
 
-import re
+import math
+import time
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.analysis import Policy, analyze, let
-from lexspark.functions.text import edits, escape_html
+from lexspark.functions.text import edits, escape_html, repair_encoding
+from lexspark.functions.urls import host
 from lexspark.operators.index import Index, weight
 
-OPERATOR = re.compile(r'(?P<sign>[+-]?)(?:(?P<field>site|idioma|fuente):(?P<value>\S+)|"(?P<phrase>[^"]*)"|(?P<word>\S+))')
+#: Fields of a query, signs of a clause, least letters before a prefix's star, terms a prefix may stand for.
+FIELDS = ("site", "idioma", "fuente")
+SIGNS = "+-"
+PREFIX_LETTERS = 2
 MOST_PREFIX_TERMS = 50
 PAGE_SIZE = 10
 
 
+class Clause(NamedTuple):
+    """One part of a query: kind is plain, word, phrase, prefix or a field."""
+
+    kind: str
+    sign: str
+    text: str
+
+
+def clauses(text: str) -> Iterator[Clause]:
+    """The parts of a query between white space. Plain words in a row are one part; what is glued to a closing quote is passed over."""
+    run: list[str] = []
+    at = 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        end = next((i for i in range(at, len(text)) if text[i].isspace()), len(text))
+        sign = text[at] if text[at] in SIGNS and at + 1 < end else ""
+        body = text[at + len(sign) : end]
+        name, colon, value = body.partition(":")
+        shut = text.find('"', at + len(sign) + 1) if body.startswith('"') else -1
+        if colon and name in FIELDS and value:
+            found = Clause(name, sign, value)
+        elif shut > at + len(sign) + 1:
+            found = Clause("phrase", sign, text[at + len(sign) + 1 : shut])
+            end = next((i for i in range(shut, len(text)) if text[i].isspace()), len(text))
+        elif body.endswith("*") and len(body.rstrip("*")) >= PREFIX_LETTERS:
+            found = Clause("prefix", sign, body.rstrip("*"))
+        elif sign:
+            found = Clause("word", sign, body)
+        else:
+            found = None
+            run.append(body)
+        if found and run:
+            yield Clause("plain", "", " ".join(run))
+            run = []
+        if found:
+            yield found
+        at = end
+    if run:
+        yield Clause("plain", "", " ".join(run))
+
+
 @dataclass
 class Query:
-    """A parsed query. free may repeat terms; prefixes are expanded against the vocabulary later."""
+    """What a query asks: terms that score (repeated as asked), that must be there, that must not, in a row; and values by field, excluded sites under ``-site``."""
+
+    scored: list[str] = field(default_factory=list)
+    must: list[str] = field(default_factory=list)
+    never: list[str] = field(default_factory=list)
+    rows: list[list[str]] = field(default_factory=list)
+    roots: list[Clause] = field(default_factory=list)
+    where: dict[str, list[str]] = field(default_factory=dict)
 
-    text: str
-    free: list[str] = field(default_factory=list)
-    required: list[str] = field(default_factory=list)
-    excluded: list[str] = field(default_factory=list)
-    phrases: list[list[str]] = field(default_factory=list)
-    prefixes: list[tuple[str, bool]] = field(default_factory=list)  # (prefix, excluded)
-    sites: list[str] = field(default_factory=list)
-    without_sites: list[str] = field(default_factory=list)
-    language: str | None = None
-    source: str | None = None
 
-    @property
-    def filtered(self) -> bool:
-        return bool(self.sites or self.without_sites or self.language or self.source)
+#: What the terms of a clause are added to, by kind and sign. A phrase of one term counts as a word.
+EFFECTS = {
+    ("plain", ""): ("scored",),
+    ("word", "+"): ("scored", "must"),
+    ("word", "-"): ("never",),
+    ("word", ""): ("scored",),
+    ("phrase", "+"): ("scored", "must", "rows"),
+    ("phrase", ""): ("scored", "must", "rows"),
+    ("phrase", "-"): ("never",),
+}
 
 
 def analyze_strings(spark, texts: list[str], policy: Policy) -> list[list[str]]:
@@ -52,55 +107,24 @@ def analyze_strings(spark, texts: list[str], policy: Policy) -> list[list[str]]:
 
 
 def parse(spark, text: str, policy: Policy) -> Query:
-    """Operators: +word, -word, "phrase", word*, site:, idioma:, fuente:. Plain words in a row are analysed together."""
-    q, parts, run = Query(text), [], []
-
-    def flush() -> None:
-        if run:
-            parts.append(("free", " ".join(run)))
-            run.clear()
-
-    for m in OPERATOR.finditer(text):
-        sign, name, word, phrase = m["sign"], m["field"], m["word"], m["phrase"]
-        if word and word.endswith("*") and len(word.rstrip("*")) >= 2:
-            flush()
-            parts.append(("unprefix" if sign == "-" else "prefix", word.rstrip("*")))
-        elif word and not sign:
-            run.append(word)
-        elif name == "site":
-            flush()
-            (q.without_sites if sign == "-" else q.sites).append(m["value"].lower())
-        elif name == "idioma":
-            flush()
-            q.language = m["value"].lower()
-        elif name == "fuente":
-            flush()
-            q.source = m["value"].lower()
-        else:
-            flush()
-            kind = "excluded" if sign == "-" else "phrase" if phrase is not None else "required"
-            parts.append((kind, phrase if phrase is not None else word or ""))
-            if kind == "phrase" and sign == "+":
-                parts[-1] = ("must_phrase", phrase)
-    flush()
+    """A query with its words analysed as the index's documents were. Of several languages or sources the last counts."""
+    query, parts = Query(), list(clauses(text))
+    worded = [c for c in parts if (c.kind, c.sign) in EFFECTS]
+    for clause, terms in zip(worded, analyze_strings(spark, [c.text for c in worded], policy), strict=True):
+        kind = "word" if clause.kind == "phrase" and len(terms) < 2 else clause.kind
+        for target in EFFECTS[kind, clause.sign]:
+            if target == "rows":
+                query.rows.append(terms)
+            else:
+                getattr(query, target).extend(terms)
+    for clause in parts:
+        if clause.kind in FIELDS:
+            values = query.where.setdefault("-site" if (clause.kind, clause.sign) == ("site", "-") else clause.kind, [])
+            values[:] = [*(values if clause.kind == "site" else []), clause.text.lower()]
+    roots = [c for c in parts if c.kind == "prefix"]
     plain = Policy(fold=policy.fold, lower=policy.lower)
-    prefixed = [k in ("prefix", "unprefix") for k, _ in parts]
-    terms = iter(analyze_strings(spark, [t for (_, t), p in zip(parts, prefixed, strict=True) if not p], policy))
-    roots = iter(analyze_strings(spark, [t for (_, t), p in zip(parts, prefixed, strict=True) if p], plain))
-    for (kind, _), p in zip(parts, prefixed, strict=True):
-        found = next(roots if p else terms)
-        if p:
-            if len(found) == 1:
-                q.prefixes.append((found[0], kind == "unprefix"))
-        elif kind == "excluded":
-            q.excluded += found
-        else:
-            q.free += found
-            if kind == "phrase" and len(found) > 1 or kind == "must_phrase" and len(found) > 1:
-                q.phrases.append(found)
-            if kind in ("required", "must_phrase") or (kind == "phrase" and len(found) > 1):
-                q.required += found
-    return q
+    query.roots = [c._replace(text=t[0]) for c, t in zip(roots, analyze_strings(spark, [c.text for c in roots], plain), strict=True) if len(t) == 1]
+    return query
 
 
 def expand_prefix(vocab: DataFrame, prefix: str, most: int = MOST_PREFIX_TERMS) -> DataFrame:
@@ -108,12 +132,12 @@ def expand_prefix(vocab: DataFrame, prefix: str, most: int = MOST_PREFIX_TERMS)
     return vocab.where(F.startswith("term", F.lit(prefix))).orderBy(F.desc("df"), "term").limit(most).select("term")
 
 
-def resolve(index: Index, q: Query) -> Query:
+def resolve(index: Index, query: Query) -> Query:
     """The query with its prefixes expanded."""
-    for prefix, excluded in q.prefixes:
-        found = [r["term"] for r in expand_prefix(index.vocab, prefix).collect()]  # at most MOST_PREFIX_TERMS
-        (q.excluded if excluded else q.free).extend(found)
-    return q
+    for clause in query.roots:
+        found = [r["term"] for r in expand_prefix(index.vocab, clause.text).collect()]  # at most MOST_PREFIX_TERMS
+        (query.never if clause.sign == "-" else query.scored).extend(found)
+    return query
 
 
 def query_weights(queries: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -127,6 +151,9 @@ def query_weights(queries: DataFrame, vocab: DataFrame) -> DataFrame:
 def cosine(index: Index, weights: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of all documents with a term of positive weight."""
     terms = weights.where("w > 0")
+    if "unit" in index.postings.columns:  # a saved index
+        hits = index.postings.join(terms, "term").groupBy("query_id", "doc_id")
+        return hits.agg(F.round(F.sum(F.col("w") / F.col("query_norm") * F.col("unit")), 9).alias("score"))
     hits = index.postings.join(terms, "term")
     part = F.sum(F.col("w") * weight(F.col("tf"), F.col("idf"))).alias("dot")
     dots = hits.groupBy("query_id", "doc_id").agg(part, F.first("query_norm").alias("query_norm"))
@@ -147,22 +174,13 @@ def search_batch(index: Index, queries: DataFrame, k: int = PAGE_SIZE) -> DataFr
     return top(cosine(index, query_weights(terms, index.vocab)), k).select("query_id", "rank", "doc_id", "score")
 
 
-def passes(meta: DataFrame, q: Query) -> DataFrame:
-    """doc_ids of meta (doc_id, site, language, source) that the query's filters let through."""
-    out = meta
-    under = lambda s: (F.col("site") == s) | F.endswith("site", F.lit("." + s))
-    if q.sites:
-        hit = F.lit(False)
-        for s in q.sites:
-            hit = hit | under(s)
-        out = out.where(hit)
-    for s in q.without_sites:
-        out = out.where(~under(s))
-    if q.language is not None:
-        out = out.where(F.col("language") == q.language)
-    if q.source is not None:
-        out = out.where(F.col("source") == q.source)
-    return out.select("doc_id")
+def passes(meta: DataFrame, where: dict[str, list[str]]) -> DataFrame:
+    """doc_ids of meta (doc_id, site, language, source) that a query's fields let through."""
+    under = lambda names: F.exists(F.array(*map(F.lit, names)), lambda s: (F.col("site") == s) | F.endswith(F.col("site"), F.concat(F.lit("."), s)))
+    tests = {"site": under, "-site": lambda names: ~under(names), "idioma": lambda v: F.col("language").isin(v), "fuente": lambda v: F.col("source").isin(v)}
+    for name, values in where.items():
+        meta = meta.where(tests[name](values))
+    return meta.select("doc_id")
 
 
 def holds_phrase(terms: str, phrase: list[str]):
@@ -177,59 +195,114 @@ def holds_phrase(terms: str, phrase: list[str]):
     return let(F.col(terms), within)  # the filter moves below the analysis, which must not run once a place
 
 
-def candidates(index: Index, q: Query, scores: DataFrame) -> DataFrame:
-    """Scores of documents that have all required terms and none of the excluded."""
-    required = sorted(set(q.required))
-    if required:
-        have = index.postings.where(F.col("term").isin(required)).groupBy("doc_id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(required))
-        scores = scores.join(have.select("doc_id"), "doc_id", "left_semi")
-    if q.excluded:
-        scores = scores.join(index.postings.where(F.col("term").isin(sorted(set(q.excluded)))).select("doc_id"), "doc_id", "left_anti")
-    return scores
+def known_terms(vocab: DataFrame, terms) -> dict[str, float]:
+    """idf of those of a query's terms that the vocabulary has; their filter reaches the scan."""
+    listed = sorted(set(terms))
+    return {r["term"]: r["idf"] for r in vocab.where(F.col("term").isin(listed)).select("term", "idf").collect()} if listed else {}
+
+
+def term_weights(index: Index, query: Query, extra: dict[str, float]) -> tuple[dict[str, float], float]:
+    """Weights of a query's terms, and their norm. extra adds to them (relevance feedback)."""
+    idf = known_terms(index.vocab, [*query.scored, *extra])
+    weights = {t: (1 + math.log2(n)) * idf[t] for t, n in Counter(query.scored).items() if t in idf}
+    for t, more in extra.items():
+        if t in idf:
+            weights[t] = weights.get(t, 0.0) + more
+    return weights, math.sqrt(sum(w * w for w in weights.values())) or 1.0
+
+
+def scored(index: Index, query: Query, weights: dict[str, float], norm: float) -> DataFrame:
+    """(doc_id, score) of documents with a term of positive weight, all terms that must be there and none that must not: one pass over the query's postings."""
+    used = {t: w for t, w in weights.items() if w > 0}
+    must, never = sorted(set(query.must)), sorted(set(query.never))
+    rows = index.postings.where(F.col("term").isin(sorted({*used, *must, *never})))
+    if "unit" not in index.postings.columns:  # not a saved index
+        norms = index.docs.select("doc_id", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0).alias("norm"))
+        rows = rows.join(index.vocab.select("term", "idf"), "term").join(norms, "doc_id").withColumn("unit", weight(F.col("tf"), F.col("idf")) / F.col("norm"))
+    w = F.create_map(*(F.lit(x) for t, v in used.items() for x in (t, v / norm)))[F.col("term")] if used else F.lit(None).cast("double")
+    out = rows.groupBy("doc_id").agg(F.sum(w * F.col("unit")).alias("score"), F.count_if(F.col("term").isin(must)).alias("have"), F.count_if(F.col("term").isin(never)).alias("bad"))
+    return out.where((F.col("have") == len(must)) & (F.col("bad") == 0) & F.col("score").isNotNull()).select("doc_id", F.round("score", 9).alias("score"))
+
+
+def matches(index: Index, query: Query, weights: dict[str, float], norm: float, documents: DataFrame | None, meta: DataFrame | None) -> DataFrame:
+    """(doc_id, score) of all that a query finds. A query of fields only lists what they let through, with score 0."""
+    if weights:
+        out = scored(index, query, weights, norm)
+    elif query.where and meta is not None and not query.scored:
+        out = passes(meta, query.where).select("doc_id", F.lit(0.0).alias("score"))
+        if query.never:
+            out = out.join(index.postings.where(F.col("term").isin(sorted(set(query.never)))).select("doc_id"), "doc_id", "left_anti")
+    else:
+        out = index.docs.select("doc_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    if query.where and meta is not None and weights:
+        out = out.join(passes(meta, query.where), "doc_id", "left_semi")
+    if query.rows and documents is not None:  # only what the terms let through is read again
+        near = documents.join(out.select("doc_id"), "doc_id", "left_semi").select("doc_id", analyze(F.col("text"), index.policy).alias("terms"))
+        for row in query.rows:
+            near = near.where(holds_phrase("terms", row))
+        out = out.join(near.select("doc_id"), "doc_id", "left_semi")
+    return out
+
+
+def best(found: DataFrame, k: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
+    """(rank, doc_id, score) of one page of (doc_id, score): only offset + k rows are ranked."""
+    first = found.orderBy(F.desc("score"), "doc_id").limit(offset + k)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).alias("rank"), "doc_id", "score").where(F.col("rank") > offset)
 
 
 def search(index: Index, text: str, documents: DataFrame | None = None, meta: DataFrame | None = None, k: int = PAGE_SIZE, offset: int = 0, extra: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score) of one query in the query language.
+    """(rank, doc_id, score) of one query in the query language.
 
     documents (doc_id, text) are needed for phrases, meta (doc_id, site, language, source) for
-    filters. extra adds to term weights (relevance feedback). A query of filters only lists all
-    that pass, with score 0.
+    fields. extra adds to term weights (relevance feedback).
     """
+    query = resolve(index, parse(index.docs.sparkSession, text, index.policy))
+    return best(matches(index, query, *term_weights(index, query, extra or {}), documents, meta), k, offset)
+
+
+@dataclass
+class Answer:
+    """One page of results and what is told beside them. ``results`` has rank, doc_id, score, title, url, domain, language and snippet."""
+
+    results: DataFrame
+    total: int
+    page: int
+    pages: int
+    ms: float
+    unknown: list[str]
+    suggestion: str | None
+    notice: str | None
+
+
+NO_FEEDBACK = "no relevant judgement for this query yet: plain search"
+
+
+def answer(index: Index, text: str, documents: DataFrame, page: int = 1, feedback: tuple[list[int], list[int]] | None = None, size: int = PAGE_SIZE) -> Answer:
+    """A page of results over documents (doc_id, url, title, text, language, source).
+
+    feedback: doc_ids judged relevant and not relevant; without a relevant one the search is
+    plain and says so. A correction is offered where a term is unknown or nothing is found.
+    """
+    begun = time.perf_counter()
     spark = index.docs.sparkSession
-    q = resolve(index, parse(spark, text, index.policy))
-    if not q.free and not extra:
-        if not q.filtered or meta is None:
-            return spark.createDataFrame([], "query_id int, rank int, doc_id long, score double")
-        return top(candidates(index, q, passes(meta, q).select(F.lit(0).alias("query_id"), "doc_id", F.lit(0.0).alias("score"))), k, offset).select("query_id", "rank", "doc_id", "score")
-    rows = spark.createDataFrame([(0, t) for t in q.free], "query_id int, term string")
-    weights = query_weights(rows, index.vocab)
-    if extra:
-        weights = add_weights(weights, index.vocab, extra)
-    scores = candidates(index, q, cosine(index, weights))
-    if q.filtered and meta is not None:
-        scores = scores.join(passes(meta, q), "doc_id", "left_semi")
-    if q.phrases and documents is not None:  # only what the terms let through is read again
-        near = documents.join(scores.select("doc_id"), "doc_id", "left_semi").select("doc_id", analyze(F.col("text"), index.policy).alias("terms"))
-        for phrase in q.phrases:
-            near = near.where(holds_phrase("terms", phrase))
-        scores = scores.join(near.select("doc_id"), "doc_id", "left_semi")
-    return top(scores, k, offset).select("query_id", "rank", "doc_id", "score")
-
-
-def unknown_terms(index: Index, q: Query) -> list[str]:
-    """Terms of a query that the vocabulary lacks."""
-    terms = sorted(set(q.free))
-    known = {r["term"] for r in index.vocab.where(F.col("term").isin(terms)).select("term").collect()} if terms else set()
-    return [t for t in terms if t not in known]
-
-
-def add_weights(weights: DataFrame, vocab: DataFrame, extra: dict[str, float]) -> DataFrame:
-    spark = weights.sparkSession
-    more = spark.createDataFrame(sorted(extra.items()), "term string, add double").join(vocab.select("term", "idf"), "term")
-    every = weights.select("term", "idf", "w").unionByName(more.select("term", "idf", F.col("add").alias("w")))
-    summed = every.groupBy("term").agg(F.first("idf").alias("idf"), F.sum("w").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(F.lit(0))))  # a query's few terms
-    return summed.select(F.lit(0).alias("query_id"), "term", "idf", "w", F.when(norm == 0, 1.0).otherwise(norm).alias("query_norm"))
+    query = resolve(index, parse(spark, text, index.policy))
+    notice = NO_FEEDBACK if feedback is not None and not feedback[0] else None
+    extra = feedback_weights(index, query, *feedback) if feedback is not None and feedback[0] else {}
+    weights, norm = term_weights(index, query, extra)
+    meta = documents.select("doc_id", host(F.col("url")).alias("site"), F.lower("language").alias("language"), F.lower("source").alias("source"))
+    found = matches(index, query, weights, norm, documents, meta)
+    total = found.count()
+    page = max(1, page)
+    ranks = best(found, size, (page - 1) * size).collect()  # at most ``size``
+    shown = spark.createDataFrame([tuple(r) for r in ranks], "rank int, doc_id long, score double")
+    own = documents.where(F.col("doc_id").isin([r["doc_id"] for r in ranks])) if ranks else documents.where(F.lit(False))
+    texts = snippets(own.select("doc_id", "text"), sorted({*weights, *query.must}), index.policy)
+    title = repair_encoding(F.trim(F.coalesce("title", F.lit(""))))
+    rows = own.select("doc_id", F.when(title == "", F.col("url")).otherwise(title).alias("title"), "url", F.lower(F.coalesce(host(F.col("url")), F.lit(""))).alias("domain"), F.coalesce("language", F.lit("")).alias("language"))
+    results = shown.join(rows, "doc_id", "left").join(texts, "doc_id", "left").select("rank", "doc_id", "score", "title", "url", "domain", "language", F.coalesce("snippet", F.lit("")).alias("snippet"))
+    unknown = sorted({t for t in query.scored if t not in known_terms(index.vocab, query.scored)}) if query.scored and len(weights) < len(set(query.scored) | set(extra)) else []
+    suggestion = correction(index, text) if unknown or total == 0 else None
+    return Answer(results, total, page, -(-total // size), 1000 * (time.perf_counter() - begun), unknown, suggestion, notice)
 
 
 def document_vectors(index: Index, ids: list[int]) -> DataFrame:
@@ -238,10 +311,9 @@ def document_vectors(index: Index, ids: list[int]) -> DataFrame:
     return rows.select("doc_id", "term", (weight(F.col("tf"), F.col("idf")) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).alias("w"))
 
 
-def feedback_terms(index: Index, text: str, relevant: list[int], others: list[int], beta: float = 0.75, gamma: float = 0.15, new_terms: int = 10) -> DataFrame:
+def feedback_terms(index: Index, query: Query, relevant: list[int], others: list[int], beta: float = 0.75, gamma: float = 0.15, new_terms: int = 10) -> DataFrame:
     """(term, w, known): what relevance feedback adds to the query's terms, and its best new terms."""
-    spark = index.docs.sparkSession
-    mine = sorted(set(parse(spark, text, index.policy).free))
+    mine = sorted(set(query.scored))
     share = F.when(F.col("doc_id").isin(relevant), F.lit(beta / max(1, len(relevant)))).otherwise(F.lit(-gamma / max(1, len(others))))
     total = document_vectors(index, [*relevant, *others]).groupBy("term").agg(F.sum(F.col("w") * share).alias("w"))
     total = total.withColumn("known", F.col("term").isin(mine))
@@ -249,15 +321,17 @@ def feedback_terms(index: Index, text: str, relevant: list[int], others: list[in
     return total.where("known AND w <> 0").unionByName(new)
 
 
+def feedback_weights(index: Index, query: Query, relevant: list[int], others: list[int], **options) -> dict[str, float]:
+    """What feedback adds to term weights, scaled by the norm of the query."""
+    _, norm = term_weights(index, query, {})
+    return {r["term"]: r["w"] * norm for r in feedback_terms(index, query, relevant, others, **options).collect()}  # the query's terms and new_terms more
+
+
 def rocchio(index: Index, text: str, relevant: list[int], others: list[int], k: int = PAGE_SIZE, **options) -> DataFrame:
-    """Search with feedback weights, scaled by the norm of the query."""
-    spark = index.docs.sparkSession
-    q = parse(spark, text, index.policy)
-    rows = spark.createDataFrame([(0, t) for t in q.free], "query_id int, term string")
-    first = query_weights(rows, index.vocab).select("query_norm").first()
-    norm = first["query_norm"] if first else 1.0
-    extra = {r["term"]: r["w"] * norm for r in feedback_terms(index, text, relevant, others, **options).collect()}  # the query's terms and new_terms more
-    return search(index, text, k=k, extra=extra)
+    """Search with feedback weights."""
+    query = parse(index.docs.sparkSession, text, index.policy)
+    weights = term_weights(index, query, feedback_weights(index, query, relevant, others, **options))
+    return best(matches(index, query, *weights, None, None), k)
 
 
 def classic(index: Index, queries: DataFrame, k: int = PAGE_SIZE) -> DataFrame:
@@ -272,7 +346,7 @@ def classic(index: Index, queries: DataFrame, k: int = PAGE_SIZE) -> DataFrame:
 
 
 def suggest(words: DataFrame, vocab: DataFrame, policy: Policy) -> DataFrame:
-    """(word, suggestion): for words the vocabulary lacks, the term one edit away that most documents have; ties by term."""
+    """(word, suggestion, df): for words the vocabulary lacks, the string one edit away whose single term most documents have; ties by string."""
     asked = words.select("word", F.lower("word").alias("low"), analyze(F.lower("word"), policy).alias("terms")).where(F.size("terms") > 0)
     terms = asked.select("word", "low", F.explode("terms").alias("term"))
     missing = terms.join(vocab.select("term"), "term", "left_anti").select("word", "low").distinct()
@@ -282,6 +356,17 @@ def suggest(words: DataFrame, vocab: DataFrame, policy: Policy) -> DataFrame:
     return found.withColumn("n", F.row_number().over(best)).where("n = 1").select("word", F.col("candidate").alias("suggestion"), "df")
 
 
+def correction(index: Index, text: str) -> str | None:
+    """The query with each unknown word replaced by its suggestion; None if nothing changes. Signed words and words with a colon stay."""
+    words = text.split()
+    asked = sorted({w for w in words if ":" not in w and w[0] not in SIGNS})
+    if not asked:
+        return None
+    found = suggest(index.docs.sparkSession.createDataFrame([(w,) for w in asked], "word string"), index.vocab, index.policy)
+    better = {r["word"]: r["suggestion"] for r in found.collect()}  # at most one a word of the query
+    return " ".join(better.get(w, w) for w in words) if better else None
+
+
 def snippets(documents: DataFrame, terms: list[str], policy: Policy, width: int = 32, most_chars: int = 200_000) -> DataFrame:
     """(doc_id, snippet) of result documents: the first window of ``width`` words with most hits, hits marked."""
     text = F.substring(F.coalesce("text", F.lit("")), 1, most_chars)

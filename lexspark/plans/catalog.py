@@ -14,10 +14,12 @@ from lexspark.functions import urls as U
 from lexspark.functions.analysis import BASIC, FULL, STOP, Policy, analyze, fold, normalize_dates, normalize_numbers
 from lexspark.functions.layout import spread
 from lexspark.operators import corpus, evaluation, repository
+from lexspark.operators.journal import Journal
 from lexspark.operators import index as I
 from lexspark.operators import search as S
 from lexspark.plans import cases, oracles
-from lexspark.sources import crawl_log, fetch, seeds
+from lexspark.sources import crawl_log, exports, fetch, seeds
+from lexspark.storage import application_dir
 from lexspark.streaming import progress as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,9 +47,31 @@ def needs(spark, sf) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_saved: dict[tuple[str, str, str], str] = {}
+
+
+def saved_index(spark, sf, name: str = "documents", id_column: str = "doc_id", text_column: str = "text") -> I.Index:
+    """The index of a table, built and saved once an application: queries read it pruned by term."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _saved:
+        built = I.build(table(spark, sf, name).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
+        path = f"{application_dir(spark)}/index-{uuid.uuid4().hex}"
+        built.save(path)
+        built.close()
+        _saved[key] = path
+    return I.Index.load(spark, _saved[key])
+
+
 def ask(spark, sf, text: str, k: int = 10) -> DataFrame:
     docs = documents(spark, sf)
-    return S.search(I.build(docs), text, docs, meta(docs), k).drop("query_id")
+    return S.search(saved_index(spark, sf), text, docs, meta(docs), k)
+
+
+def library(spark, sf) -> DataFrame:
+    """Documents as a searcher shows them: every third without a title."""
+    docs = documents(spark, sf)
+    url = F.concat(F.lit("https://"), F.col("source"), F.lit(".Example.org/"), F.col("doc_id"))
+    return docs.select("doc_id", url.alias("url"), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit(" No. "), F.col("doc_id"))).alias("title"), "text", F.col("lang").alias("language"), "source")
 
 
 # --- index
@@ -60,17 +84,17 @@ def index_postings(spark, sf):
 
 @query
 def index_vocab(spark, sf):
-    return I.build(documents(spark, sf)).vocab.withColumn("idf", F.round("idf", 9))
+    return saved_index(spark, sf).vocab.withColumn("idf", F.round("idf", 9))
 
 
 @query
 def index_docs(spark, sf):
-    return I.build(documents(spark, sf)).docs.withColumn("norm", F.round("norm", 6))
+    return saved_index(spark, sf).docs.withColumn("norm", F.round("norm", 6))
 
 
 @query
 def index_stats(spark, sf):
-    return I.statistics(I.build(documents(spark, sf)))
+    return I.statistics(saved_index(spark, sf))
 
 
 @query
@@ -96,6 +120,29 @@ def vocab_compare(spark, sf):
     return I.compare_vocabularies(first, second)
 
 
+@query
+def vocab_difference(spark, sf):
+    docs = I.indexable(documents(spark, sf))
+    return I.vocabulary_difference(I.vocabulary(I.term_frequencies(docs), 1), I.vocabulary(I.term_frequencies(docs, STOP), 1))
+
+
+@query
+def index_report(spark, sf):
+    report = I.build_report(documents(spark, sf), f"{application_dir(spark)}/index-{uuid.uuid4().hex}")
+    return report.select("policy", "docs", "missing", "terms", "tokens", "postings", "text_bytes", F.round("length_mean", 6).alias("length_mean"), ((F.col("index_bytes") == F.col("postings_bytes") + F.col("vocab_bytes") + F.col("docs_bytes")) & (F.col("bytes_per_posting") > 0) & (F.col("index_share") > 0)).alias("sized"))
+
+
+@query
+def index_plots(spark, sf):
+    report = I.build_report(documents(spark, sf), f"{application_dir(spark)}/index-{uuid.uuid4().hex}")
+    return I.plot_data(report).where("measure = 'terms'")
+
+
+@query
+def doc_numbers(spark, sf):
+    return I.numbered(documents(spark, sf).where("doc_id % 3 > 0"))
+
+
 @query
 def top_terms(spark, sf):
     return I.top_terms(I.vocabulary(I.term_frequencies(I.indexable(documents(spark, sf))), 1), 40).select("term", "df", "cf")
@@ -103,20 +150,37 @@ def top_terms(spark, sf):
 
 @query
 def dates_numbers(spark, sf):
-    rows = cases.inline(spark, cases.DATES, "id int, text string, expected string")
-    return rows.select("id", normalize_numbers(normalize_dates(F.col("text"))).alias("result"))
+    """Order dates in seven spellings, with a price and an ordinal beside them."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"), F.floor("o_totalprice").cast("long").alias("price"))
+    day, year = F.dayofmonth("d"), F.year("d")
+    month = lambda names: F.element_at(F.array(*map(F.lit, names.split())), F.month("d"))
+    spellings = [
+        F.concat_ws(" ", month(cases.MONTHS_EN), F.concat(day, F.lit(",")), year),
+        F.concat_ws(" ", F.concat(day, F.lit("th")), month(cases.MONTHS_EN), year),
+        F.concat_ws(" ", day, F.lit("de"), month(cases.MONTHS_ES), F.lit("de"), year),
+        F.concat_ws("-", year, F.month("d"), day),
+        F.date_format("d", "yyyy/MM/dd"),
+        F.date_format("d", "MM/dd/yyyy"),
+        F.concat(F.lit("abr 31, "), F.lit("19999")),
+    ]
+    text = F.concat_ws(" ", F.lit("on"), F.element_at(F.array(*spellings), (F.col("o_orderkey") % len(spellings) + 1).cast("int")), F.lit("for"), F.format_number("price", 0), F.lit("the"), F.concat(F.col("o_orderkey") % 90 + 1, F.lit("ST")))
+    return rows.select("o_orderkey", normalize_numbers(normalize_dates(text)).alias("result"))
+
+
+def phrases(spark, sf) -> DataFrame:
+    """Parts with a phrase of the tables between two words."""
+    put = F.element_at(F.array(*(F.lit(x) for x, _, _ in cases.PHRASES)), (F.col("p_partkey") % len(cases.PHRASES) + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("Bought "), put, F.lit(" again")).alias("text"))
 
 
 @query
 def analyze_full(spark, sf):
-    rows = cases.inline(spark, cases.TERMS, "id int, text string, expected string")
-    return rows.select("id", F.array_join(analyze(F.col("text"), FULL), " ").alias("result"))
+    return phrases(spark, sf).select("p_partkey", F.array_join(analyze(F.col("text"), FULL), " ").alias("result"))
 
 
 @query
 def analyze_phrases(spark, sf):
-    rows = cases.inline(spark, cases.PHRASES, "id int, text string, expected string")
-    return rows.select("id", F.array_join(analyze(F.col("text"), Policy("phrases", names=True, thesaurus=True)), " ").alias("result"))
+    return phrases(spark, sf).select("p_partkey", F.array_join(analyze(F.col("text"), Policy("phrases", names=True, thesaurus=True)), " ").alias("result"))
 
 
 @query
@@ -127,8 +191,9 @@ def fold_letters(spark, sf):
 
 @query
 def repair_encoding(spark, sf):
-    rows = cases.inline(spark, cases.REPAIRS, "id int, text string, expected string")
-    return rows.select("id", X.repair_encoding("text").alias("result"))
+    """Texts with letters beyond ASCII, their UTF-8 read as Latin-1."""
+    docs = documents(spark, sf).where("octet_length(text) <> length(text)")
+    return docs.select("doc_id", F.md5(X.repair_encoding(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"))).alias("result"))
 
 
 # --- search
@@ -136,12 +201,12 @@ def repair_encoding(spark, sf):
 
 @query
 def search_cosine(spark, sf):
-    return S.search_batch(I.build(documents(spark, sf)), needs(spark, sf))
+    return S.search_batch(saved_index(spark, sf), needs(spark, sf))
 
 
 @query
 def search_classic(spark, sf):
-    return S.classic(I.build(documents(spark, sf)), needs(spark, sf))
+    return S.classic(saved_index(spark, sf), needs(spark, sf))
 
 
 @query
@@ -184,19 +249,60 @@ def judged(spark, sf) -> tuple[list[int], list[int]]:
 @query
 def search_rocchio(spark, sf):
     good, bad = judged(spark, sf)
-    return S.rocchio(I.build(documents(spark, sf)), "stupid trash", good, bad).drop("query_id").withColumn("score", F.round("score", 7))
+    return S.rocchio(saved_index(spark, sf), "stupid trash", good, bad).withColumn("score", F.round("score", 7))
 
 
 @query
 def rocchio_terms(spark, sf):
     good, bad = judged(spark, sf)
-    return S.feedback_terms(I.build(documents(spark, sf)), "stupid trash", good, bad).select("term", F.round("w", 9).alias("w"), "known")
+    index = saved_index(spark, sf)
+    return S.feedback_terms(index, S.parse(spark, "stupid trash", index.policy), good, bad).select("term", F.round("w", 9).alias("w"), "known")
 
 
 @query
 def suggest(spark, sf):
     words = cases.inline(spark, [("stupidd",), ("trsah",), ("worthles",), ("thee",), ("stupid",), ("qqqqqqqq",)], "word string")
-    return S.suggest(words, I.build(documents(spark, sf)).vocab, BASIC)
+    return S.suggest(words, saved_index(spark, sf).vocab, BASIC)
+
+
+@query
+def suggest_queries(spark, sf):
+    index = saved_index(spark, sf)
+    texts = ["stupidd trsah", "the stupid trash", "-stupidd site:trsah worthles", "qqqqqqqq", "Thee +trsah"]
+    return spark.createDataFrame([(t, S.correction(index, t)) for t in texts], "text string, suggestion string")
+
+
+@query
+def search_page(spark, sf):
+    found = S.answer(saved_index(spark, sf), "stupid trash zzzznowhere", library(spark, sf), page=2)
+    return found.results.select("rank", "doc_id", "score", "title", "url", "domain", "language", F.lit(found.total).alias("total"), F.lit(found.pages).alias("pages"), F.lit(" ".join(found.unknown)).alias("unknown"), F.lit(found.suggestion).cast("string").alias("suggestion"), F.lit(found.notice).cast("string").alias("notice"))
+
+
+@query
+def search_page_feedback(spark, sf):
+    good, bad = judged(spark, sf)
+    found = S.answer(saved_index(spark, sf), "stupid trash", library(spark, sf), feedback=(good, bad))
+    return found.results.select("rank", "doc_id", F.round("score", 7).alias("score"))
+
+
+@query
+def search_glued_quotes(spark, sf):
+    return ask(spark, sf, 'stupid "trash"worthless "" "+')
+
+
+@query
+def journal_run(spark, sf):
+    """A run recorded, judged twice and read back: what was shown, with the grade that counts."""
+    book = Journal(spark, f"{application_dir(spark)}/journal-{uuid.uuid4().hex}")
+    found = S.answer(saved_index(spark, sf), "stupid trash", library(spark, sf))
+    run = book.run("ann", None, "stupid trash", "basico", found)
+    shown = [r["page_id"] for r in book.table("shown").orderBy("rank").collect()]
+    for place, grade in ((0, 2), (1, 0), (0, 1)):
+        book.judge(run, shown[place], grade)
+    book.click(book.query("session", "stupid trash", "basico", found), shown[0], 1)
+    counts = book.table("queries").agg(F.count("*").alias("queries")).crossJoin(book.table("clicks").agg(F.count("*").alias("clicks")))  # one row each
+    marks = book.judgements().select("run_id", "page_id", "relevance")
+    return book.table("shown").join(marks, ["run_id", "page_id"], "left").select("rank", "page_id", "score", F.coalesce("relevance", F.lit(-1)).alias("relevance")).crossJoin(counts)
 
 
 @query
@@ -204,7 +310,7 @@ def search_page_site(spark, sf):
     pages = table(spark, sf, "pages")
     docs = pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     sites = pages.select(F.col("page_id").alias("doc_id"), U.domain(F.col("url")).alias("site"), F.lit("x").alias("language"), F.lit("x").alias("source"))
-    return S.search(I.build(docs), "site:example.org -site:spam-farm.example.org", docs, sites, 20).drop("query_id")
+    return S.search(saved_index(spark, sf, "pages", "page_id", "html"), "site:example.org -site:spam-farm.example.org", docs, sites, 20)
 
 
 @query
@@ -258,6 +364,19 @@ def progress_by_source(spark, sf):
     return corpus.progress(pages, F.lit(now.first()["now"]))
 
 
+@query
+def corpus_report(spark, sf):
+    docs = documents(spark, sf).select("text", "source", F.col("lang").alias("language"), F.concat(F.lit("d"), F.col("doc_id") % 30).alias("domain"))
+    return exports.corpus_report(docs, f"{application_dir(spark)}/report-{uuid.uuid4().hex}")
+
+
+@query
+def crawled_pages(spark, sf):
+    own = documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    other = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"), "url")
+    return corpus.crawled_pages(custom=own, scrapy=other).groupBy("crawler_source").agg(F.count("*").alias("pages"), F.count("url").alias("with_url"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
 @query
 def thin_content(spark, sf):
     return corpus.thin(documents(spark, sf)).select("doc_id", "words")
@@ -277,6 +396,15 @@ def topical_score(spark, sf):
     return rows.select("doc_id", "s.hits", F.round("s.density", 9).alias("density"), X.is_topical(F.col("s")).alias("topical"))
 
 
+@query
+def topical_default(spark, sf):
+    """The default keywords, on texts into which they are put."""
+    words = ("game", "gameplay", "gamers", "games", "gaming", "gamer", "videojuegos", "video game", "nothing")
+    put = F.element_at(F.array(*map(F.lit, words)), (F.col("doc_id") % len(words) + 1).cast("int"))
+    rows = documents(spark, sf).select("doc_id", X.topical_score(F.concat(F.lit("x "), F.repeat(F.concat(put, F.lit(" ")), 6), F.coalesce("lang", F.lit("")))).alias("s"))
+    return rows.select("doc_id", "s.hits", X.is_topical(F.col("s")).alias("topical"))
+
+
 @query
 def content_dedup(spark, sf):
     rows = documents(spark, sf).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
@@ -307,6 +435,21 @@ def url_denied(spark, sf):
     return table(spark, sf, "pages").select("page_id", U.denied(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.when(F.col("page_id") % 3 == 0, ".pdf").when(F.col("page_id") % 3 == 1, "?oldid=7").otherwise(""))).alias("reason"))
 
 
+@query
+def url_domain_port(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.domain_with_port(F.concat(F.regexp_replace("url", "^(https?://)([^/?#]*)", "$1user@$2:8080"))).alias("domain"))
+
+
+@query
+def url_scope_default(spark, sf):
+    """The default keywords in anchors of a topical host."""
+    rules = cases.inline(spark, [("ththed.example.org", "topical", [])], "host string, mode string, prefixes array<string>")
+    words = ("gaming", "gamer news", "speed-run", "x", "Video Game", "recipes")
+    anchor = F.element_at(F.array(*map(F.lit, words)), (F.col("page_id") % len(words) + 1).cast("int"))
+    links = table(spark, sf, "pages").select("page_id", F.concat(F.lit("https://ththed.example.org/p"), F.col("page_id")).alias("url"), anchor.alias("anchor"), F.lit(False).alias("parent_topical"))
+    return U.in_scope(links, rules).select("page_id", "ok", "reason")
+
+
 @query
 def url_host_rules(spark, sf):
     rows = seeds.clean_seeds(cases.inline(spark, cases.SEEDS, ", ".join(f"{c} string" for c in seeds.COLUMNS)))
@@ -327,8 +470,8 @@ def html_title(spark, sf):
 
 @query
 def html_links(spark, sf):
-    rows = spread(table(spark, sf, "pages")).select("page_id", H.extract_page("html", "url").alias("p"))
-    return rows.select("page_id", F.posexplode("p.links").alias("place", "link")).select("page_id", "place", "link.url", "link.anchor")
+    rows = spread(table(spark, sf, "pages")).select("page_id", H.extract_links("html", "url").alias("links"))
+    return rows.select("page_id", F.posexplode("links").alias("place", "link")).select("page_id", "place", "link.url", "link.anchor")
 
 
 @query
@@ -347,6 +490,17 @@ def fetch_pages(spark, sf):
     return fetch.fetch(table(spark, sf, "pages"), get).select("url", F.coalesce("status_code", F.lit(0)).alias("status_code"), "body", "truncated", "error")
 
 
+@query
+def fetch_cut(spark, sf):
+    """Bodies around the most bytes that are kept."""
+
+    def get(url: str) -> dict:
+        return {"status_code": 200, "content_type": "text/html", "body": b"x" * (4_999_999 + len(url) % 3)}
+
+    tasks = table(spark, sf, "pages").where("page_id < 12")
+    return fetch.fetch(tasks, get).select("url", F.length("body").alias("chars"), "truncated")
+
+
 @query
 def robots(spark, sf):
     rules = cases.inline(spark, [("spam-farm.example.org", "/", False), ("spam-farm.example.org", "/en/", True), ("ththed.example.org", "/en/", False)], "site string, path string, allow boolean")
@@ -366,6 +520,30 @@ def save_outcomes(spark, sf):
     return repository.save_outcomes(arrivals(spark, sf)).select("seq", "url", "outcome")
 
 
+@query
+def save_outcomes_updates(spark, sf):
+    """URLs that change their content often, onto pages that are there."""
+    rows = documents(spark, sf).select(F.col("doc_id").alias("seq"), F.concat(F.lit("u"), F.pmod(F.col("doc_id") * 7919, F.lit(151))).alias("url"), F.concat(F.lit("h"), F.pmod(F.col("doc_id") * 104729, F.lit(83))).alias("content_hash"))
+    pages = cases.inline(spark, [("u1", "h1"), ("u2", "h2"), ("zz", "h3")], "url string, content_hash string")
+    return repository.save_outcomes(rows, pages).select("seq", "outcome")
+
+
+@query
+def known_duplicates(spark, sf):
+    docs = documents(spark, sf).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return repository.duplicates(docs.where("doc_id % 2 = 1"), docs.where("doc_id % 2 = 0")).select("doc_id")
+
+
+@query
+def upsert_labels(spark, sf):
+    labels = table(spark, sf, "labels")
+    rows = labels.where("doc_id % 3 = 0").select("doc_id", F.lit(7).alias("quality"), F.col("toxic"), F.col("doc_id").alias("seq"))
+    more = rows.select("doc_id", F.lit(8).alias("quality"), "toxic", (F.col("seq") + 1).alias("seq")).where("doc_id % 2 = 0")
+    fresh = rows.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), "quality", "toxic", "seq")
+    old = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), "toxic", F.lit(0).cast("long").alias("seq"))
+    return repository.upsert(old, rows.unionByName(more).unionByName(fresh), ["doc_id"], "seq").select("doc_id", "quality")
+
+
 @query
 def page_decision(spark, sf):
     docs = documents(spark, sf)
@@ -418,6 +596,35 @@ def fetch_outcomes(spark, sf):
     return repository.fetch_outcome(rows).select("id", "new_status", "reason", "success", "wait")
 
 
+@query
+def hard_failures(spark, sf):
+    codes = F.element_at(F.array(*map(F.lit, (200, 404, 403, 429, 503, 500, 204))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 5 > 0, codes).alias("status"), F.when(F.col("o_orderkey") % 11 == 0, "timeout").alias("error"))
+    return rows.select("id", repository.hard_failure(F.col("status"), F.col("error")).alias("failed"))
+
+
+@query
+def frontier_reset(spark, sf):
+    states = F.element_at(F.array(*map(F.lit, ("pending", "in_progress", "done", "error"))), (F.col("seq") % 4 + 1).cast("int"))
+    return repository.by_status(repository.reset_in_progress(tasks(spark, sf).withColumn("status", states)))
+
+
+@query
+def recovery_pages(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", (F.col("page_id") % 8).cast("int").alias("depth"))
+    omitted = pages.where("page_id % 5 > 0").select("url").distinct()
+    rules = cases.inline(spark, [("spam-farm.example.org", "domain", []), ("blog.ththan.example.net", "prefix", ["/en/"]), ("ththed.example.org", "topical", [])], "host string, mode string, prefixes array<string>")
+    return crawl_log.recovery_candidates(pages, omitted, rules).select("page_id", "depth")
+
+
+@query
+def seeds_saved(spark, sf):
+    """Suppliers as seeds: half are there, a third come again, some twice."""
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("seed_id"), F.col("s_name").alias("url"), F.col("s_suppkey").alias("seq"))
+    new = rows.where("seq % 3 = 0").withColumn("url", F.lit("new")).unionByName(rows.where("seq % 6 = 0").select("seed_id", F.lit("newer").alias("url"), (F.col("seq") + 1).alias("seq")))
+    return seeds.save_seeds(rows.where("seq % 2 = 0").drop("seq"), new)
+
+
 @query
 def stale_pages(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.col("ts").alias("fetched_at"))
@@ -505,7 +712,7 @@ def frontier_marked(spark, sf):
 @query
 def links_kept(spark, sf):
     pages = table(spark, sf, "pages")
-    found = spread(pages).select(F.col("url").alias("from_url"), F.explode(H.extract_page("html", "url").getField("links")).alias("l")).select("from_url", F.col("l.url").alias("to_url"))
+    found = spread(pages).select(F.col("url").alias("from_url"), F.explode(H.extract_links("html", "url")).alias("l")).select("from_url", F.col("l.url").alias("to_url"))
     admitted = found.where(F.contains("to_url", F.lit("/en"))).select(F.col("to_url").alias("url"))
     return repository.new_links(found, admitted)
 
@@ -534,6 +741,13 @@ def metrics_runs(spark, sf):
     return evaluation.run_metrics(*relations(spark, sf)).drop("index_name", "judge", "need")
 
 
+@query
+def runs_table(spark, sf):
+    runs, shown, judgements = relations(spark, sf)
+    runs = runs.withColumn("ts", F.lit("2026-01-01")).withColumn("ms", F.col("run_id") * 1.5).withColumn("query", F.trim("query"))
+    return evaluation.run_table(runs, shown, judgements)
+
+
 @query
 def metrics_summary(spark, sf):
     return evaluation.summaries(evaluation.run_metrics(*relations(spark, sf)))
@@ -579,7 +793,7 @@ def grade_counts(spark, sf):
 
 def query_log(spark, sf) -> tuple[DataFrame, DataFrame]:
     events = table(spark, sf, "events")
-    q = events.where("event_type = 'view'").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("session"), F.concat(F.lit(" Q"), F.col("user_id") % 20).alias("query"), (F.col("event_id") % 7).alias("total"), F.col("value").alias("ms"))
+    q = events.where("event_type = 'view'").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("session"), F.concat(F.lit(" Q"), F.col("user_id") % 20).alias("query"), (F.col("event_id") % 7).alias("total"), F.col("value").alias("ms"), (F.col("event_id") % 3 == 0).alias("rocchio"), F.when(F.col("event_id") % 5 == 0, "other").alias("suggestion"))
     c = events.where("event_type = 'click'").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 10 + 1).alias("rank"))
     return q, c
 

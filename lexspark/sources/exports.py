@@ -7,6 +7,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.operators.corpus import ranked, report_parts, word_frequencies
+from lexspark.operators.evaluation import RUN_COLUMNS
+
 
 def metadata_csv(pages: DataFrame, path: str) -> None:
     pages.drop("text").write.mode("overwrite").option("compression", "gzip").csv(path, header=True)
@@ -32,8 +35,23 @@ def evaluation_json(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: df.select(F.to_json(F.struct(*df.columns)).alias("value")) for name, df in tables.items()}
 
 
-def runs_csv(runs: DataFrame, metrics: DataFrame, path: str) -> None:
-    runs.join(metrics.drop("judge", "index_name", "need"), "run_id", "left").write.mode("overwrite").csv(path, header=True)
+def runs_csv(table: DataFrame, path: str) -> None:
+    """The table of runs (evaluation.run_table) with the fixed columns in their order."""
+    table.select(*RUN_COLUMNS).write.mode("overwrite").csv(path, header=True)
+
+
+def corpus_report(docs: DataFrame, path: str, most_domains: int = 20, most_words: int = 50, ranked_words: int = 1000) -> DataFrame:
+    """Write stats (JSON lines and Markdown) and the ranked words (CSV) of docs (text, source, language, domain) below path; return (part, key, docs, words, bytes).
+
+    Parts: all, source, language, domain (by bytes), word and plain_word (their count under words).
+    """
+    whole = report_parts(docs, most_domains, most_words)
+    words_csv(ranked(word_frequencies(docs), ranked_words), f"{path}/words")
+    whole.write.mode("overwrite").json(f"{path}/stats")
+    parts = [(p, report_table(whole.where(F.col("part") == p).drop("part").orderBy(F.desc("bytes"), F.desc("words"), "key"), 1000)) for p in ("all", "source", "language", "domain", "word", "plain_word")]
+    text = "\n\n".join(f"## {p}\n\n{t}" for p, t in parts)
+    docs.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")
+    return whole
 
 
 def report_json(totals: DataFrame) -> str:

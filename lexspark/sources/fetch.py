@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_BYTES = 5 * 1024 * 1024
+MOST_BYTES = 5_000_000
 CONTENT_TYPES = ("text/html", "application/xhtml+xml")
 MOST_DELAY = 30.0
 FETCHED = "url string, final_url string, status_code int, content_type string, body string, truncated boolean, error string, fetch_ms long"
@@ -62,10 +62,9 @@ def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, site, path) that robots rules (site, path, allow) let through: the longest rule that fits wins, allow on a tie; sites without rules allow all."""
-    fits = F.startswith(F.col("path"), F.col("_rule"))
-    joined = urls.join(rules.select("site", F.col("path").alias("_rule"), "allow"), "site", "left")
-    best = joined.groupBy(*urls.columns).agg(F.max_by("allow", F.when(fits, F.struct(F.length("_rule"), "allow"))).alias("_ok"))
-    return best.where(F.coalesce("_ok", F.lit(True))).drop("_ok")
+    per_site = rules.where("path IS NOT NULL").groupBy("site").agg(F.collect_list(F.struct(F.length("path").alias("n"), "allow", F.col("path").alias("rule"))).alias("_rules"))  # one robots file each
+    fitting = F.filter("_rules", lambda r: F.startswith(F.col("path"), r["rule"]))
+    return urls.join(per_site, "site", "left").where(F.coalesce(F.array_max(fitting)["allow"], F.lit(True))).select(urls.columns)
 
 
 def crawl_delay(declared: Column, least: float = 1.0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions.urls import denied, host, normalize_url
+from lexspark.operators.repository import upsert
 
 COLUMNS = ("seed_id", "url", "subtema", "scope_mode", "idioma", "crawler")
 
@@ -37,3 +38,8 @@ def start_tasks(seeds: DataFrame) -> DataFrame:
     url = normalize_url(F.col("url"))
     rows = seeds.select("seed_id", url.alias("url"), F.col("scope_mode").alias("scope_rule")).where("url IS NOT NULL")
     return rows.where(denied(F.col("url")).isNull()).select("*", F.lit(0).alias("depth"), F.lit(True).alias("parent_topical"))
+
+
+def save_seeds(table: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The seed table with new rows in it: a seed_id's last row (by ``seq``) replaces it."""
+    return upsert(table.withColumn("seq", F.lit(-1).cast("long")), seeds, ["seed_id"], "seq").drop("seq")
