@@ -6,7 +6,9 @@ the documents they were given.
 
 Defined results: rows without doc_id pass the stages that compare by doc_id unchanged; a
 null text has no language and goes in the first stage; of rows with one doc_id that are
-equal, one stays after near-duplicate removal.
+equal, one stays after near-duplicate removal; of near duplicates of equal standing the least
+doc_id stays. Extra columns, whatever their names, pass all stages but the last. An empty table
+gives an empty result. Texts of any length are read whole by every stage.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from lexspark.llm.decontam import decontaminate
 from lexspark.llm.langid import document_languages
 from lexspark.llm.neardup import near_duplicates
 from lexspark.llm.packing import pack
-from lexspark.llm.storage import kept
 from lexspark.llm.substring import substring_dedup
+from lexspark.storage import drop, kept
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 80
@@ -74,6 +76,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents table to packed pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
