@@ -19,21 +19,20 @@ Defined results: null and empty texts are ``und`` and rejected; where no text is
 all are ``und`` and those with letters are accepted; a missing host, suffix
 or declaration is no evidence; ties go to the language first in alphabetical order;
 repeated rows give repeated results (and count each for the priors); other columns are
-carried by the caller; an empty table gives an empty result.
+carried by the caller; an empty table gives an empty result; texts of any length are read
+whole, pages in time linear in their length.
 """
 
 from __future__ import annotations
 
-import html
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.layout import spread
-from lexspark.llm.storage import kept
+from lexspark.llm.markup import plain_text
+from lexspark.storage import kept
 from lexspark.llm.words import GRAM, LOWER, DocBatch, sliced
 
 UNKNOWN = "und"
@@ -49,8 +48,6 @@ HOST_WEIGHT = 4.0
 SUFFIX_WEIGHT = 20.0
 #: Numbers held at once for the languages of rows.
 CELLS = 1 << 20
-MARKUP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})""")
 
 
 def trigrams(batch: DocBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -122,10 +119,8 @@ def evidence(df: DataFrame, names: list[str], model: np.ndarray, markup: bool) -
         for part in narrow(sliced(batches), len(names) + 1):
             texts, declared = part.column("text"), part.column("declared")
             if markup:
-                raw = texts.to_pylist()
-                found = [DECLARED.search(t or "") for t in raw]
-                declared = pa.array([m[1].lower() if m else None for m in found], pa.string())
-                texts = pa.array([html.unescape(MARKUP.sub(" ", t or "")) for t in raw], pa.string())
+                read = [plain_text(t or "") for t in texts.to_pylist()]
+                texts, declared = (pa.array(list(x), pa.string()) for x in zip(*read, strict=True))
             batch = DocBatch.of(texts)
             bucket, doc = trigrams(batch)
             n = np.bincount(doc, minlength=batch.n_docs)
@@ -204,7 +199,7 @@ def address(url: Column) -> tuple[Column, Column]:
 
 def page_languages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per row of pages (page_id, url, html): lang, confidence, what was declared and what the text alone says."""
-    names, model = train_texts(labelled.select("doc_id", "text", "lang"))
+    names, model = train_texts(labelled.select(*(c for c in ("doc_id", "text", "lang") if c in labelled.columns)))
     host, suffix = address(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), suffix.alias("suffix"), F.col("html").alias("text"), F.lit(None).cast("string").alias("declared"))
     return fuse(evidence(rows, names, model, markup=True), names).drop("suffix")

@@ -1,21 +1,27 @@
-"""Licence scans by a trained classifier of sentences and lines.
+"""Licence scans by a trained paragraph classifier.
 
-Texts are cut into units at newlines and sentence ends. Word unigrams (other than common
-words), bigrams and trigrams of a unit feed a sparse multinomial logistic regression over
-licence families and a class ``none``. It is trained here on licence notices, their
-variations, and bounded samples of the scanned corpus as ``none``; a temperature fitted on
-held-out variations calibrates it. A prediction counts only if the family's templates hold
-enough of the unit's bigrams. So that a notice inside a longer unit is found, the stretches of
-a unit in which enough of one template's bigrams stand together are classified by themselves;
-of stretches that overlap, the one with most bigrams of its template counts.
+Texts are cut into paragraphs at blank lines (a notice wrapped over several lines is one
+paragraph); longer ones are read in windows of WINDOW words that overlap by half, so that text far
+away can't outvote a notice. Word unigrams (other than common words), bigrams and trigrams feed a
+sparse multinomial logistic regression (L1: most weights are exactly zero) over licence families, a
+class ``unknown`` of licences outside the list, and ``none``. It is trained here on notices and
+their variations, on notices of other licences and made-up ones, and on a bounded sample of the
+scanned corpus as ``none``. A temperature and the weight of ``unknown`` are calibrated on held-out
+variations and on licences that training never saw.
 
-n-grams the training never saw weigh nothing, so a unit without a known bigram or trigram
-is ``none`` exactly; only the others are scored. One pass over the rows, no shuffle.
+The classifier sees every paragraph with an n-gram of nonzero weight; any other is ``none`` by its
+bias. What it predicts counts only if a stretch of the paragraph holds enough of one of the family's
+templates, and no other family's template holds more there. Then that stretch is taken out and the
+rest classified again, so a paragraph may hold several notices. Parts of one header are one notice.
+
+One pass over the rows, no shuffle.
 
 Defined results: null and empty texts have no notice; rows are scanned one by one, so
-repeated rows give repeated results; notices come in text order, families sorted; columns
-other than ``doc_id`` and ``text`` are not read; an empty table gives an empty result (and
-the classifier then trains without samples of the corpus).
+repeated rows give repeated results; notices come in text order, families sorted; where spans
+overlap the one that holds more of its template stays, then the one first in the text, then the
+family first in the alphabet; columns other than ``doc_id`` and ``text`` are not read; an empty
+table gives an empty result (and the classifier then trains without samples of the corpus); texts
+of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -30,12 +36,15 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.words import DocBatch, map_texts
 
-NONE = "none"
-BUCKETS = 1 << 18
+NONE, UNKNOWN = "none", "unknown"
+RESERVED = "all-rights-reserved"
+#: Words of a window; longer paragraphs are read in several.
+WINDOW = 120
 #: As many bigrams of one template close together are its notice, however much longer the template is.
 SURE = 12
-#: A bigram in the templates of more families than this tells nothing by itself.
-FEW = 3
+#: Parts of a header so many words apart are one notice.
+JOIN = 30
+FILTER_BITS = 22
 #: What notices of each family say (titles, grants, SPDX lines).
 TEMPLATES = {
     "apache-2.0": [
@@ -48,6 +57,7 @@ TEMPLATES = {
         "Released under the Apache License 2.0",
     ],
     "mit": [
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
         "Released under the MIT License",
         "Licensed under the MIT License",
         "This project is licensed under the terms of the MIT license",
@@ -57,14 +67,18 @@ TEMPLATES = {
         "The MIT License (MIT)",
     ],
     "gpl-3.0": [
+        "GNU General Public License v3.0",
+        "released under version 3 of the GNU General Public License",
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-        "You should have received a copy of the GNU General Public License along with this program",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "GNU General Public License version 3",
         "Licensed under the GPLv3",
     ],
     "gpl-2.0": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "GNU General Public License v2.0",
+        "released under version 2 of the GNU General Public License",
         "This work is licensed under the GNU General Public License, version 2",
         "either version 2 of the License, or (at your option) any later version",
         "SPDX-License-Identifier: GPL-2.0-only",
@@ -72,17 +86,24 @@ TEMPLATES = {
         "Licensed under the GPLv2",
     ],
     "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the LGPL",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "This work is licensed under the GNU Lesser General Public License, version 3",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
         "GNU Lesser General Public License version 2.1",
     ],
     "agpl-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "Licensed under the AGPLv3",
         "This work is licensed under the GNU Affero General Public License, version 3",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ],
     "bsd": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Use of this source code is governed by a BSD-style license",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software",
@@ -92,11 +113,13 @@ TEMPLATES = {
         "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "mpl-2.0": [
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ],
     "isc": [
+        "provided that the above copyright notice and this permission notice appear in all copies",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "Released under the ISC License",
         "SPDX-License-Identifier: ISC",
@@ -132,6 +155,32 @@ TEMPLATES = {
         "Proprietary and confidential, unauthorized copying of this file is strictly prohibited",
     ],
 }
+#: Notices of licences outside the list. Every other one trains the class ``unknown``; the rest are held out to calibrate it.
+OTHERS = {
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "cddl": ["The contents of this file are subject to the terms of the Common Development and Distribution License", "SPDX-License-Identifier: CDDL-1.0"],
+    "apache-1.1": ["The Apache Software License, Version 1.1", "This product includes software developed by the Apache Software Foundation", "SPDX-License-Identifier: Apache-1.1"],
+    "artistic": ["You may distribute under the terms of the Artistic License 2.0, as specified in the README file", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0", "SPDX-License-Identifier: BSL-1.0"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty; in no event will the authors be held liable for any damages arising from the use of this software", "SPDX-License-Identifier: Zlib"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "Licensed under CC BY-ND 4.0"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "cc-by-3.0": ["Licensed under CC BY 3.0 Unported", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"],
+    "eupl": ["Licensed under the EUPL, Version 1.2 or later", "SPDX-License-Identifier: EUPL-1.2"],
+    "gnu-any": ["You should have received a copy of the GNU General Public License along with this program", "See the GNU General Public License for more details", "Free software under the GNU General Public License"],
+    "gfdl": ["Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3", "SPDX-License-Identifier: GFDL-1.3-only"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1", "SPDX-License-Identifier: OFL-1.1"],
+    "mpl-1.1": ["The contents of this file are subject to the Mozilla Public License Version 1.1", "SPDX-License-Identifier: MPL-1.1"],
+    "ms-pl": ["This code is licensed under the Microsoft Public License", "SPDX-License-Identifier: MS-PL"],
+    "psf": ["Licensed to PSF under a Contributor Agreement", "SPDX-License-Identifier: PSF-2.0"],
+    "wtfpl": ["This program is free software, it comes without any warranty, to the extent permitted by applicable law", "SPDX-License-Identifier: WTFPL"],
+    "gpl-1.0": ["GNU General Public License version 1", "SPDX-License-Identifier: GPL-1.0-only"],
+    "postgresql": ["Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted", "SPDX-License-Identifier: PostgreSQL"],
+    "commercial": ["This software is licensed under the terms of your commercial agreement with the vendor", "Licensed under the vendor's end user license agreement"],
+}
+#: How notices name a licence; with made-up names they train ``unknown`` too.
+FRAMES = ["Licensed under the {} License, Version 2.0", "Licensed under the {} License", "Released under the {} License", "This work is licensed under the {} Public License, version 3", "This work is licensed under the {} General License, version 2", "SPDX-License-Identifier: {}-2.0", "SPDX-License-Identifier: {}", "The {} License ({})", "Released under the {} License 1.0", "Licensed under {} 4.0", "under the terms of the {} Public License", "You may obtain a copy of the {} License at http://www.{}.org/license"]
 #: Sentences near the subject that are no notice.
 NEAR_MISSES = [
     "The driver lost his license after the accident",
@@ -153,253 +202,301 @@ NEAR_MISSES = [
 #: Words too common to be features by themselves.
 COMMON = "the of and a to in is for it with as be this that on by at or an are was you your from not may any all must will use".split()
 WORD_BYTE = np.isin(np.arange(256), [*range(48, 58), *range(97, 123)]) | (np.arange(256) >= 0x80)
-STOP_BYTE = np.isin(np.arange(256), list(b".!?"))
-GAP_BYTE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
-class UnitBatch(DocBatch):
-    """Texts as letters and digits, cut into sentences and lines."""
+class Paragraphs(DocBatch):
+    """Texts as letters and digits, cut into windows of paragraphs."""
 
     @cached_property
     def in_word(self) -> np.ndarray:
         return WORD_BYTE[self.data]
 
     @cached_property
-    def unit_of_word(self) -> np.ndarray:
-        """Number of each word's unit; units never span texts."""
-        d = self.data
-        cut = d == 10
-        stop = STOP_BYTE[d]
-        stop[:-1] &= GAP_BYTE[d[1:]]
-        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(cut | stop, dtype=np.int64)])
+    def paragraph_of_word(self) -> np.ndarray:
+        """Number of each word's paragraph; paragraphs never span texts."""
+        lines = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.data == 10, dtype=np.int64)])
         starts, ends = self.spans
         new = np.zeros(len(starts), bool)
         if len(starts):
-            new[1:] = (before[starts[1:]] > before[ends[:-1]]) | (self.doc_of_word[1:] != self.doc_of_word[:-1])
+            new[1:] = (lines[starts[1:]] - lines[ends[:-1]] >= 2) | (self.doc_of_word[1:] != self.doc_of_word[:-1])
         return np.cumsum(new)
 
-    def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket, unit, n and first word of every n-gram, n from 1 to 3, inside units."""
-        unit, out = self.unit_of_word, []
+    @cached_property
+    def ngrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word, hash and n of every n-gram, n from 1 to 3, inside paragraphs."""
+        paragraph, out = self.paragraph_of_word, []
         for n in (1, 2, 3):
             at, h = self.grams(n)
-            inside = unit[at] == unit[np.minimum(at + n - 1, len(unit) - 1)] if len(unit) else np.zeros(0, bool)
-            at, h = at[inside], h[inside]
+            good = paragraph[at] == paragraph[np.minimum(at + n - 1, max(len(paragraph) - 1, 0))] if len(at) else np.zeros(0, bool)
             if n == 1:
-                rare = ~np.isin(h, common_hashes())
-                at, h = at[rare], h[rare]
-            out.append(((h >> np.uint64(64 - 18)).astype(np.int64), unit[at], np.full(len(at), n), at))
+                good &= ~np.isin(h, common_hashes())
+            out.append((at[good], h[good], np.full(int(good.sum()), n)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """First word and end of each window."""
+        paragraph = self.paragraph_of_word
+        if not len(paragraph):
+            return np.zeros((0, 2), np.int64)
+        first = np.flatnonzero(np.append(True, paragraph[1:] != paragraph[:-1]))
+        end = np.append(first[1:], len(paragraph))
+        n = np.maximum(1, -(-(end - first - WINDOW // 2) // (WINDOW // 2)))
+        start = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * (WINDOW // 2)
+        return np.stack([start, np.minimum(start + WINDOW, np.repeat(end, n))], axis=1)
+
 
-def units(texts: list[str]) -> UnitBatch:
-    return UnitBatch.of(pa.array(texts, pa.string()), lower=True)
+def paragraphs(texts: list[str]) -> Paragraphs:
+    return Paragraphs.of(pa.array(texts, pa.string()), lower=True)
 
 
 def common_hashes() -> np.ndarray:
-    return units(COMMON).grams(1)[1]
+    return Paragraphs.of(pa.array(COMMON), lower=True).grams(1)[1]
 
 
 @dataclass
 class LicenceModel:
     families: list[str]
-    weights: np.ndarray  # a row a known bucket, the last: bias; a column a class, the last: none
-    row_of: np.ndarray  # of each bucket; -1: unknown
+    known: np.ndarray  # hashes of n-grams with a nonzero weight, sorted
+    weights: np.ndarray  # a row each and the bias; a column a family, then unknown, none
     temperature: float
-    strong: np.ndarray  # buckets of bigrams and trigrams of templates
-    template_bigrams: list[np.ndarray]
-    templates: list[tuple[int, np.ndarray]]  # family and bigrams of each template, in order
+    lift: float  # added to unknown's score
+    templates: list[tuple[int, np.ndarray]]  # family and bigrams of each template, those of other licences too
 
     @cached_property
-    def known_bigrams(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.template_bigrams))
+    def mask(self) -> np.ndarray:
+        """Which top bits a known hash has: most n-grams need no search."""
+        out = np.zeros(1 << FILTER_BITS, bool)
+        out[(self.known >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+        return out
 
-    @cached_property
-    def telling(self) -> np.ndarray:
-        """Which known bigrams stand in the templates of few families."""
-        return sum(np.isin(self.known_bigrams, b).astype(int) for b in self.template_bigrams) <= FEW
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hash; -1: no weight."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.known):
+            near = np.flatnonzero(self.mask[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.known, hashes[near]), len(self.known) - 1)
+            good = self.known[at] == hashes[near]
+            out[near[good]] = at[good]
+        return out
 
-    @cached_property
-    def membership(self) -> np.ndarray:
-        """Which known bigrams each template has."""
-        return np.stack([np.isin(self.known_bigrams, b) for _, b in self.templates])
-
-    def probabilities(self, bucket: np.ndarray, unit: np.ndarray, n_units: int) -> np.ndarray:
-        row = self.row_of[bucket]
-        known = row >= 0
-        z = np.tile(self.weights[-1], (n_units, 1))
-        np.add.at(z, unit[known], self.weights[row[known]])
-        z /= self.temperature
+    def probabilities(self, z: np.ndarray) -> np.ndarray:
+        """From summed weights without the bias."""
+        z = z + self.weights[-1]
+        z[:, -2] += self.lift
+        z = z / self.temperature
         p = np.exp(z - z.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
-def variations(rng: np.random.Generator, text: str, filler: list[str]) -> str:
-    """A notice with words lost, case changed, or a little text around it."""
+def variations(rng: np.random.Generator, text: str, filler: list[str], prose: list[str]) -> str:
+    """A notice with words lost, case changed, or words or whole sentences around it."""
     words = text.split()
-    if len(words) > 6:
-        words = [w for w in words if rng.random() > 0.06]
-    if rng.random() < 0.25:
-        words = [*rng.choice(filler, rng.integers(1, 4)).tolist(), *words]
-    if rng.random() < 0.25:
-        words = [*words, *rng.choice(filler, rng.integers(1, 4)).tolist()]
-    out = " ".join(words).replace(". ", " ").replace("! ", " ").replace("? ", " ")
-    return out.upper() if rng.random() < 0.1 else out
-
-
-def train(background: list[str], rounds: int = 150, copies: int = 8, seed: int = 5) -> LicenceModel:
-    """Fit on variations of the templates against NEAR_MISSES and background sentences."""
-    rng = np.random.default_rng(seed)
-    families = sorted(TEMPLATES)
-    filler = [w for t in (background or NEAR_MISSES)[:200] for w in t.split()][:2000] or ["x"]
-    examples = [(variations(rng, t, filler) if c else t, i) for i, f in enumerate(families) for t in TEMPLATES[f] for c in range(copies)]
-    none = len(families)
-    examples += [(t, none) for t in (NEAR_MISSES * 3 + background)]
-    texts = [" ".join(t.split()).rstrip(".!?") for t, _ in examples]
-    y = np.array([k for _, k in examples])
-    batch = units([t.replace(". ", " ").replace("! ", " ").replace("? ", " ") for t in texts])
-    bucket, unit, _, _ = batch.features()
-    doc = np.zeros(int(unit.max()) + 1 if len(unit) else 0, np.int64)
-    doc[batch.unit_of_word] = batch.doc_of_word
-    example = doc[unit]
-    held = rng.random(len(texts)) < 0.2
-    keep = np.unique(bucket[~held[example]])
-    row_of = np.full(BUCKETS, -1, np.int64)
-    row_of[keep] = np.arange(len(keep))
-    row = row_of[bucket]
-    seen = row >= 0
-    row, example = row[seen], example[seen]
-    target = np.eye(none + 1)[y]
-    share = np.where(held, 0.0, 1.0)
-    share = share / np.bincount(y[~held], minlength=none + 1)[y] ** 0.5
-    weights, speed = np.zeros((len(keep) + 1, none + 1)), np.full((len(keep) + 1, none + 1), 1e-8)
-
-    def logits() -> np.ndarray:
-        z = np.tile(weights[-1], (len(texts), 1))
-        for k in range(none + 1):
-            z[:, k] += np.bincount(example, weights=weights[row, k], minlength=len(texts))
-        return z
+    if len(words) > 8:
+        words = [w for w in words if rng.random() > 0.05]
 
+    def around() -> list[str]:
+        kind = rng.random()
+        if kind < 0.5:
+            return []
+        return rng.choice(filler, rng.integers(1, 6)).tolist() if kind < 0.7 else rng.choice(prose, rng.integers(1, 7)).tolist()
+
+    out = " ".join([*around(), *words, *around()])
+    return out.upper() if rng.random() < 0.08 else out
+
+
+def made_up(rng: np.random.Generator, filler: list[str]) -> str:
+    """A notice of a licence that isn't there."""
+    name = " ".join(rng.choice(filler, rng.integers(1, 3))).title()
+    return str(rng.choice(FRAMES)).replace("{}", name)
+
+
+def fit(row: np.ndarray, example: np.ndarray, y: np.ndarray, share: np.ndarray, n_rows: int, classes: int, rounds: int, l1: float) -> np.ndarray:
+    """Multinomial logistic regression with L1, by proximal steps scaled to each weight's gradients."""
+    weights, speed = np.zeros((n_rows + 1, classes)), np.full((n_rows + 1, classes), 1e-8)
+    target = np.eye(classes)[y]
     for _ in range(rounds):
-        z = logits()
+        z = np.stack([np.bincount(example, weights=weights[row, k], minlength=len(y)) for k in range(classes)], axis=1) + weights[-1]
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) * share[:, None]
-        grad = np.stack([np.bincount(row, weights=g[example, k], minlength=len(keep) + 1) for k in range(none + 1)], axis=1)
+        g = (p / p.sum(axis=1, keepdims=True) - target) * share[:, None]
+        grad = np.stack([np.bincount(row, weights=g[example, k], minlength=n_rows + 1) for k in range(classes)], axis=1)
         grad[-1] = g.sum(axis=0)
-        grad[:-1] += 2e-3 * weights[:-1]
         speed += grad * grad
-        weights -= 0.5 * grad / np.sqrt(speed)
-    z = logits()[held]
-    grid = np.geomspace(0.3, 4, 25)
-    losses = []
-    for t in grid:
-        s = z / t
-        s = s - s.max(axis=1, keepdims=True)
-        losses.append(-(s - np.log(np.exp(s).sum(axis=1, keepdims=True)))[np.arange(len(s)), y[held]].mean() if len(s) else 0)
-    found = [units([t.replace(". ", " ") for t in TEMPLATES[f]]).features() for f in families]
-    strong = np.unique(np.concatenate([b[n > 1] for b, _, n, _ in found]))
-    bigrams = [np.unique(b[n == 2]) for b, _, n, _ in found]
-    texts = [(i, units([t.replace(". ", " ")]).features()) for i, f in enumerate(families) for t in TEMPLATES[f]]
-    singles = [(i, b[n == 2]) for i, (b, _, n, _) in texts if (n == 2).any()]
-    return LicenceModel(families, weights, row_of, float(grid[int(np.argmin(losses))]), strong, bigrams, singles)
-
-
-def stretches(at: np.ndarray, key: np.ndarray, unit: np.ndarray, model: LicenceModel, containment: float) -> list[tuple[int, int, int, int, float]]:
-    """Parts of units that hold a template: first word, last word, family, template bigrams found, their share of the part.
-
-    at, key and unit are those of the batch's known bigrams, in text order. A part is at most as long
-    as its template, and holds ``containment`` of the template's bigrams, or of SURE bigrams where it is
-    longer; at least one of them must be telling.
+        step = 0.5 / np.sqrt(speed)
+        weights -= step * grad
+        weights[:-1] = np.sign(weights[:-1]) * np.maximum(np.abs(weights[:-1]) - step[:-1] * l1, 0)
+    return weights
+
+
+def train(background: list[str], rounds: int = 150, copies: int = 12, l1: float = 5e-4, seed: int = 5) -> LicenceModel:
+    """Fit on variations of the templates, other and made-up licences, NEAR_MISSES and background sentences."""
+    rng = np.random.default_rng(seed)
+    families = sorted(TEMPLATES)
+    filler = sorted({w.strip(".,;:!?()").lower() for t in [*NEAR_MISSES, *background[:200]] for w in t.split()} - {""})[:2000]
+    prose = background or NEAR_MISSES
+    unknown, none = len(families), len(families) + 1
+    examples: list[tuple[str, int, bool]] = []
+    for i, f in enumerate(families):
+        pairs = [f"{a}. {b}" for a, b in zip(TEMPLATES[f], TEMPLATES[f][1:], strict=False)]
+        for t in [*TEMPLATES[f], *pairs]:
+            examples += [(variations(rng, t, filler, prose) if c else t, i, c > 0 and rng.random() < 0.2) for c in range(copies)]
+    for i, f in enumerate(sorted(OTHERS)):
+        for t in OTHERS[f]:
+            examples += [(variations(rng, t, filler, prose) if c else t, unknown, i % 2 == 1) for c in range(copies)]
+    examples += [(variations(rng, made_up(rng, filler), filler, prose), unknown, rng.random() < 0.2) for _ in range(500)]
+    examples += [(t, none, rng.random() < 0.2) for t in (NEAR_MISSES * 3 + background)]
+    examples += [(" ".join(rng.choice(prose, 7)), none, rng.random() < 0.2) for _ in range(200)]
+    y = np.array([k for _, k, _ in examples])
+    held = np.array([h for _, _, h in examples])
+    batch = paragraphs([" ".join(t.split()) for t, _, _ in examples])
+    at, h, _ = batch.ngrams
+    example = batch.doc_of_word[at]
+    pair = np.unique(np.stack([h, example.astype(np.uint64)], axis=1), axis=0)  # an n-gram counts once an example
+    h, example = pair[:, 0], pair[:, 1].astype(np.int64)
+    # features are the n-grams of notices and near misses; what only stands around them tells nothing about licences
+    own = [*(t for texts in (*TEMPLATES.values(), *(OTHERS[f] for i, f in enumerate(sorted(OTHERS)) if i % 2 == 0)) for t in texts), *(x.replace("{}", "\n\n") for x in FRAMES), *NEAR_MISSES]
+    known = np.unique(paragraphs(own).ngrams[1])
+    row = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    good = known[row] == h
+    row, example = row[good], example[good]
+    share = np.where(held, 0.0, 1.0) / np.bincount(y[~held], minlength=none + 1)[y] ** 0.5
+    weights = fit(row, example, y, share, len(known), none + 1, rounds, l1)
+    z = np.stack([np.bincount(example, weights=weights[row, k], minlength=len(y)) for k in range(none + 1)], axis=1)
+    used = np.abs(weights[:-1]).max(axis=1) > 0
+    bigrams = [(i, np.unique(bigrams_of(t))) for i, f in enumerate(families) for t in TEMPLATES[f]]
+    bigrams += [(unknown, np.unique(bigrams_of(t))) for texts in OTHERS.values() for t in texts]  # rivals
+    model = LicenceModel(families, known[used], np.concatenate([weights[:-1][used], weights[-1:]]), 1.0, 0.0, [b for b in bigrams if len(b[1])])
+    even = 1 / np.bincount(np.minimum(y[held], unknown) if held.any() else [0], minlength=none + 1)[np.minimum(y[held], unknown)] if held.any() else np.zeros(0)
+    best = np.inf
+    for temperature in np.geomspace(0.5, 4, 13):
+        for lift in np.linspace(-2, 4, 13):
+            model.temperature, model.lift = float(temperature), float(lift)
+            loss = -(even * np.log(model.probabilities(z[held].copy())[np.arange(int(held.sum())), y[held]] + 1e-12)).sum() if held.any() else 0
+            if loss < best:
+                best, chosen = loss, (float(temperature), float(lift))
+    model.temperature, model.lift = chosen if held.any() else (1.0, 0.0)
+    return model
+
+
+def bigrams_of(text: str) -> np.ndarray:
+    return paragraphs([" ".join(text.split())]).grams(2)[1]
+
+
+def stretches(at: np.ndarray, hashes: np.ndarray, bigrams: np.ndarray, containment: float) -> tuple[int, int, int] | None:
+    """First word, end and number of the template's bigrams of the part that holds most of them; None if none holds ``containment``.
+
+    A part is at most as long as the template, and holds the share of the template's bigrams, or of SURE where it has more.
     """
-    out = set()
-    for t, (family, bigrams) in enumerate(model.templates):
-        mine = np.flatnonzero(model.membership[t, key])
-        length = len(bigrams)
-        need = int(np.ceil(containment * min(len(np.unique(bigrams)), SURE) - 1e-9))
-        if len(mine) < need:
-            continue
-        pos, ids, place = at[mine], key[mine], unit[mine]
-        stop = np.minimum(np.searchsorted(pos, pos + length), np.searchsorted(place, place, "right"))
-        for i in np.flatnonzero(stop - np.arange(len(pos)) >= need):
-            for j in range(int(stop[i]), int(i) + need - 1, -1):
-                own = np.unique(ids[i:j])
-                share = len(own) / (pos[j - 1] - pos[i] + 1)
-                if len(own) < need:
-                    break
-                if share >= containment and model.telling[own].any():
-                    out.add((int(pos[i]), int(pos[j - 1]) + 1, family, len(own), float(share)))
-                    break
-    return sorted(out)
-
-
-def scan_batch(batch: UnitBatch, model: LicenceModel, threshold: float, containment: float) -> list[list[dict]]:
-    """Notices of each text: start and end in bytes, family, probability, containment."""
+    mine = np.flatnonzero(np.isin(hashes, bigrams))
+    need = int(np.ceil(containment * min(len(bigrams), SURE) - 1e-9))
+    if len(mine) < need:
+        return None
+    pos, ids, best = at[mine], hashes[mine], None
+    stop = np.searchsorted(pos, pos + len(bigrams) + 1)
+    for i in np.flatnonzero(stop - np.arange(len(pos)) >= need):
+        own = len(np.unique(ids[i : stop[i]]))
+        if own >= need and own >= containment * (pos[stop[i] - 1] - pos[i] + 1) and (best is None or own > best[2]):
+            best = (int(pos[i]), int(pos[stop[i] - 1]) + 2, own)
+    return best
+
+
+def confirmed(at: np.ndarray, hashes: np.ndarray, family: int, model: LicenceModel, containment: float) -> tuple[int, int, int] | None:
+    """First word, end and template bigrams of a family's notice among a window's bigrams; None if no template of it fits, or another family's fits better there."""
+    own = [(*x, x[2] / len(b)) for f, b in model.templates if f == family and (x := stretches(at, hashes, b, containment))]
+    if not own:
+        return None
+    start, end, most, share = max(own, key=lambda x: (x[2], x[3], -x[0]))
+    inside = (at >= start - 1) & (at + 2 <= end + 1)
+    if any((x[2], x[2] / len(b)) > (most, share) for f, b in model.templates if f != family and (x := stretches(at[inside], hashes[inside], b, containment))):
+        return None
+    for a, b, *_ in sorted(own):
+        if a <= end + JOIN and b >= start - JOIN:
+            start, end = min(start, a), max(end, b)
+    return start, end, most
+
+
+def joined(notices: list[tuple]) -> list[tuple]:
+    """Notices (template bigrams, first word, end, family, probability) of a text, those of one family close together as one; rights reserved in the header of another licence are no notice of their own."""
+    out: list[tuple] = []
+    for x in sorted(notices, key=lambda x: (x[1], x[2])):
+        if out and out[-1][3] == x[3] and x[1] <= out[-1][2] + JOIN:
+            y = out.pop()
+            x = (y[0] + x[0], y[1], max(x[2], y[2]), x[3], max(x[4], y[4]))
+        out.append(x)
+    following = [y for y in out if y[3] != RESERVED]
+    return [x for x in out if x[3] != RESERVED or not any(x[2] <= y[1] <= x[2] + JOIN for y in following)]
+
+
+def scan_batch(batch: Paragraphs, model: LicenceModel, threshold: float, containment: float) -> list[list[dict]]:
+    """Notices of each text: start and end in bytes, family (or unknown), probability, and the share of the notice that its templates hold."""
     out: list[list[dict]] = [[] for _ in range(batch.n_docs)]
-    if not len(batch.word_hashes):
-        return out
-    bucket, unit, n, at = batch.features()
-    likely = np.unique(unit[(n > 1) & np.isin(bucket, model.strong)])
-    if not len(likely):
+    windows = batch.windows
+    if not len(windows):
         return out
-    own = np.isin(unit, likely)
-    bucket, unit, n, at = bucket[own], unit[own], n[own], at[own]
-    index = np.searchsorted(likely, unit)
-    p = model.probabilities(bucket, index, len(likely))
-    first = np.searchsorted(batch.unit_of_word, likely)
-    last = np.searchsorted(batch.unit_of_word, likely, "right") - 1
+    at, h, n = batch.ngrams
+    row = model.rows(h)
+    weighted = np.flatnonzero(row >= 0)
+    last = np.searchsorted(windows[:, 0], at[weighted], "right") - 1  # the last window that begins before the n-gram, and the one before it
+    pairs = [(w, k) for w, k in ((last, weighted), (last - 1, weighted))]
+    window = np.concatenate([w for w, _ in pairs])
+    gram = np.concatenate([k for _, k in pairs])
+    inside = (window >= 0) & (at[gram] + n[gram] <= windows[np.maximum(window, 0), 1]) & (at[gram] >= windows[np.maximum(window, 0), 0])
+    window, gram = window[inside], gram[inside]
+    key = np.unique(window * len(model.weights) + row[gram])  # once a window
+    window_, row_ = key // len(model.weights), key % len(model.weights)
+    scored = np.unique(window_)
+    place = np.searchsorted(scored, window_)
+    z = np.stack([np.bincount(place, weights=model.weights[row_, k], minlength=len(scored)) for k in range(model.weights.shape[1])], axis=1) if len(scored) else np.zeros((0, model.weights.shape[1]))
+    p = model.probabilities(z.copy())
     starts, ends = batch.spans
-    found: dict[int, list[tuple[int, int, int, float, float]]] = {}  # of a unit: first word, last word, family, probability, containment
-
-    known = np.flatnonzero((n == 2) & np.isin(bucket, model.known_bigrams))  # bigrams are in text order
-    key = np.searchsorted(model.known_bigrams, bucket[known])
-    near = np.isin(index[known], index[known][model.telling[key]])
-    known, key = known[near], key[near]
-    parts = stretches(at[known], key, index[known], model, containment)
-    if parts:
-        by_word = np.argsort(at, kind="stable")
-        ordered = at[by_word]
-        inside, part_of = [], []
-        for i, (a, b, *_) in enumerate(parts):
-            grams = by_word[np.searchsorted(ordered, a) : np.searchsorted(ordered, b, "right")]
-            grams = grams[at[grams] + n[grams] - 1 <= b]
-            inside.append(grams)
-            part_of.append(np.full(len(grams), i))
-        free = np.ones(len(starts), bool)
-        q = model.probabilities(bucket[np.concatenate(inside)], np.concatenate(part_of), len(parts))
-        for i in sorted(range(len(parts)), key=lambda i: (-parts[i][3], parts[i][1] - parts[i][0], parts[i][0])):
-            a, b, k, _, share = parts[i]
-            if q[i, k] >= threshold and q[i, k] >= q[i].max() and free[a : b + 1].all():
-                free[a : b + 1] = False
-                found.setdefault(int(np.searchsorted(first, a, "right")) - 1, []).append((a, b, k, float(q[i, k]), share))
-
-    for i in np.flatnonzero(p[:, :-1].max(axis=1) >= threshold):
-        k = int(p[i, :-1].argmax())
-        bigrams = bucket[(index == i) & (n == 2)]
-        held = float(np.isin(bigrams, model.template_bigrams[k]).mean()) if len(bigrams) else 0.0
-        if held >= containment:
-            whole = (int(first[i]), int(last[i]), k, float(p[i, k]), held)
-            inner = found.get(int(i), [])
-            families = {x[2] for x in inner}
-            if families <= {k}:
-                found[int(i)] = [whole]
-            elif k not in families:
-                inner.append(whole)
-    for i in sorted(found):
-        for a, b, k, probability, share in sorted(found[i]):
-            out[batch.doc_of_word[a]].append({"start": int(starts[a]), "end": int(ends[b]), "family": model.families[k], "probability": probability, "containment": share})
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    found: dict[int, list[tuple]] = {}
+    for i in np.flatnonzero(p.argmax(axis=1) < model.weights.shape[1] - 1):
+        a, b = windows[scored[i]]
+        grams = order[np.searchsorted(ordered, a) : np.searchsorted(ordered, b)]
+        grams = grams[at[grams] + n[grams] <= b]
+        doc = int(batch.doc_of_word[a])
+        while len(grams):
+            rows = np.unique(row[grams])
+            q = model.probabilities(model.weights[rows[rows >= 0]].sum(axis=0)[None, :])[0]
+            k = int(q.argmax())
+            if k >= len(model.families) or q[k] < threshold:
+                if k == len(model.families) and q[k] >= threshold and len(grams):
+                    found.setdefault(doc, []).append((0, int(a), int(b), UNKNOWN, float(q[k])))
+                break
+            two = grams[n[grams] == 2]
+            span = confirmed(at[two], h[two], k, model, containment)
+            if span is None:
+                break
+            found.setdefault(doc, []).append((span[2], span[0], span[1], model.families[k], float(q[k])))
+            grams = grams[(at[grams] + n[grams] <= span[0]) | (at[grams] >= span[1])]
+    for doc, all_ in found.items():
+        named = sorted((x for x in all_ if x[3] != UNKNOWN), key=lambda x: (-x[0], x[1], x[3]))
+        kept: list[tuple] = []
+        for x in named:
+            same = next((k for k, y in enumerate(kept) if y[3] == x[3] and x[1] <= y[2] and y[1] <= x[2]), None)
+            if same is not None:  # seen in two windows
+                y = kept[same]
+                kept[same] = (y[0], min(x[1], y[1]), max(x[2], y[2]), y[3], max(x[4], y[4]))
+            elif all(x[2] <= y[1] or x[1] >= y[2] for y in kept):
+                kept.append(x)
+        kept = joined(kept)
+        unknown = [x for x in all_ if x[3] == UNKNOWN and not any(x[1] < y[2] and y[1] < x[2] for y in kept)]
+        for hits, a, b, family, probability in sorted([*kept, *unknown], key=lambda x: (x[1], x[2], x[3])):
+            out[doc].append({"start": int(starts[a]), "end": int(ends[b - 1]), "family": family, "probability": probability, "containment": min(1.0, hits / max(1, b - a - 1))})
     return out
 
 
 def background(df: DataFrame, most: int) -> list[str]:
-    """At most ``most`` sentences of the corpus, none of which names licences or rights."""
+    """At most ``most`` sentences of the corpus, none of which names licences or rights: the bound on unlabelled rows that train ``none``."""
     sentence = F.explode(F.split("text", r"[\n.!?]+"))
     rows = df.where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(64)) == 0).select(sentence.alias("s")).where(~F.lower("s").rlike(r"licen[cs]e|copyright|rights|spdx|public|permission|redistribut|unauthor")).where(F.length(F.trim("s")).between(8, 400))
     return [r["s"] for r in rows.orderBy(F.xxhash64("s"), "s").limit(most).collect()]
 
 
 def scan_licences(df: DataFrame, threshold: float = 0.5, containment: float = 0.6, samples: int = 1500) -> DataFrame:
-    """Per row of df (doc_id, text): n_notices, families (sorted, distinct) and notices.
+    """Per row of df (doc_id, text): n_notices, families (sorted, distinct), notices, and n_unknown, the paragraphs that look like a licence outside the list.
 
     ``samples`` bounds the corpus sentences that train the class ``none``. start and end of a
     notice are code points of the text.
@@ -409,13 +506,15 @@ def scan_licences(df: DataFrame, threshold: float = 0.5, containment: float = 0.
     notice = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("containment", pa.float64())])
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        batch = UnitBatch.of(part.column("text"), lower=True)
+        batch = Paragraphs.of(part.column("text"), lower=True)
         found = scan_batch(batch, model.value, threshold, containment)
         chars = np.concatenate([np.zeros(1, np.int64), np.cumsum((batch.data & 0xC0) != 0x80)])
         for i, notices in enumerate(found):
             for x in notices:
                 x["start"], x["end"] = (int(chars[x[k]] - chars[batch.offsets[i]]) for k in ("start", "end"))
-        families = [sorted({x["family"] for x in f}) for f in found]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(f) for f in found], pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(found, pa.list_(notice))], ["doc_id", "n_notices", "families", "notices"])
+        named = [[x for x in f if x["family"] != UNKNOWN] for f in found]
+        families = [sorted({x["family"] for x in f}) for f in named]
+        columns = [pa.array([len(f) for f in named], pa.int64()), pa.array(families, pa.list_(pa.string())), pa.array(named, pa.list_(notice)), pa.array([len(f) - len(g) for f, g in zip(found, named, strict=True)], pa.int64())]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_notices", "families", "notices", "n_unknown"])
 
-    return map_texts(df.select("doc_id", "text"), one, f"doc_id {kind}, n_notices long, families array<string>, notices array<struct<start:bigint,end:bigint,family:string,probability:double,containment:double>>")
+    return map_texts(df.select("doc_id", "text"), one, f"doc_id {kind}, n_notices long, families array<string>, notices array<struct<start:bigint,end:bigint,family:string,probability:double,containment:double>>, n_unknown long")

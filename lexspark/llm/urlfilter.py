@@ -14,12 +14,13 @@ execution splits for a hot host. Rules are a short list kept by hand.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule
 and is allowed; a null html has no links; links inside a host do not count; repeated rows
-give repeated results; other columns are not read; an empty table gives an empty result.
+give repeated results; other columns are not read; an empty table gives an empty result; pages
+of any length are read whole, in time linear in their length; of rules of equal length the first
+in alphabetical order wins.
 """
 
 from __future__ import annotations
 
-import html
 import itertools
 import re
 from urllib.parse import urljoin
@@ -29,13 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.functions.layout import spread
-from lexspark.llm.storage import drop, kept
+from lexspark.llm.markup import links as hrefs
+from lexspark.storage import drop, kept
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 Rule = tuple[str, str]
 #: (verdict, host and path) as the query of the contract wants them.
 RULES: list[Rule] = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-HREF = re.compile(r"""(?is)<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 HOST = re.compile(r"^[^/?#]*?://([^/?#]*)")
 LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -66,8 +67,7 @@ def host_links(pages: DataFrame) -> DataFrame:
             src, dst = [], []
             for url, host, page in zip(*(part.column(c).to_pylist() for c in ("url", "host", "html")), strict=True):
                 found = set()
-                for m in HREF.finditer(page or ""):
-                    target = html.unescape(m[1] or m[2] or m[3] or "").strip()
+                for target in hrefs(page or ""):
                     if "//" not in target:
                         continue  # stays on its host
                     if target.startswith("//"):
