@@ -3,32 +3,31 @@
 Every document is held against all documents before it. The reference is indexed by blocks
 cut where the content says: each window of ``window`` words belongs to the least hash among
 its short n-grams (its anchor), and a maximal run of windows with one anchor is a block, so equal
-passages are cut into equal blocks wherever they stand, and a block has at most
-``window - ANCHOR + 1`` windows. The reference holds each distinct block once, with the
-earliest document that has it, under its anchor.
-
-A document is parsed greedily, from left to right, into factors: the longest run of its windows
-that stands in one earlier reference block. A block that occurs whole in an earlier document is
-one factor, found by the hash of its content; any other is parsed against all earlier blocks of its
-anchor through a hash index of their windows. Where a factor ends the parse goes on at the next
-window, not after the factor's last word: so the windows across its boundary are looked up
-too, and every window that occurs earlier lies in some factor. Factors are at least ``window``
-words long; they are the duplicate spans. Windows repeated inside one document are found in that
-document.
+passages are cut into equal blocks wherever they stand. The index names for each distinct
+block, and for each window of blocks whose anchor stands in several surroundings, the
+earliest document that has it and the place there.
+
+A document is parsed greedily, from left to right, into factors: from a window that the index
+knows, the match goes on for as long as the next window is the next one at that place of the
+earlier document, through as many blocks as it lasts. A block that occurs whole is looked up as
+one. Where a factor ends, the parse goes on at the next window, not after the factor's last word:
+so the windows across its boundary are looked up too, and every window that occurs earlier
+lies in some factor. Factors are at least ``window`` words long; they are the duplicate spans.
+Windows repeated inside one document are found in that document.
+
+The index holds one place for a window, the earliest, so a factor is the longest match at
+that place; a later document may hold a longer one, which the next factor then covers.
 
 Scale. The first pass writes one 8-byte hash for about eight words once, and shuffles it, to count
 in how many documents it occurs; only documents with such a hash go on with their text. Minima
 over documents are partial aggregates, and rows meet them in plain shuffled joins that
-adaptive execution splits, so a passage in a third of all documents is no hot task. Blocks of one
-anchor that must be parsed meet in one task if they are at most GROUP; of an anchor with more,
-each window is looked up by itself in a join, which finds the same windows.
+adaptive execution splits, so a passage in a third of all documents is no hot task.
 
 Defined results: a null text has no words; equal hashes are 128 bits for windows; rows of
 equal ``doc_id`` are never earlier than each other; a missing ``doc_id`` is before all
 others; doc_id is an integer; columns other than ``doc_id`` and ``text`` are not read; an empty
-table gives an empty result; texts of any length are parsed whole. The source of
-a factor is the earliest document with that very block, else, of matches of equal length, the
-earliest document.
+table gives an empty result; texts of any length are parsed whole. Of several places in the
+earliest document any one is named.
 """
 
 from __future__ import annotations
@@ -45,8 +44,6 @@ from lexspark.storage import drop, kept
 from lexspark.llm.words import GRAM, SLICE_BYTES, DocBatch, later, map_texts, mix, sliced, within
 
 ANCHOR = 6
-#: Most blocks of one anchor that are parsed together.
-GROUP = 256
 FIRST = -(2**63)
 
 
@@ -192,20 +189,21 @@ def digest(text: str | None, removed: np.ndarray | None) -> tuple[str, str]:
 
 
 def finish(df: DataFrame, window: int, carried: list[str], with_text: bool) -> DataFrame:
-    """Remove what the spans of windows cover; a text that loses nothing stays as it is, any other is its words joined by spaces."""
+    """Remove what the factors cover; a text that loses nothing stays as it is, any other is its words joined by spaces."""
     keys = ["doc_id", *carried]
 
     def run(batches):
         for part in sliced(batches, "body", SLICE_BYTES):
             removed, sha, text = [], [], []
-            for t, n, own, spans in zip(texts_of(part.column("body")), part.column("n_words"), part.column("own"), part.column("spans"), strict=True):
+            for t, n, own, spans_ in zip(texts_of(part.column("body")), part.column("n_words"), part.column("own"), part.column("spans"), strict=True):
                 step = np.zeros(n.as_py() + 1, np.int64)
-                for spans_ in (own, spans):
-                    if spans_.is_valid and len(spans_):
-                        a = spans_.values.field("start").to_numpy()
-                        b = a + spans_.values.field("n").to_numpy() + window - 1
-                        np.add.at(step, a, 1)
-                        np.add.at(step, b, -1)
+                parts = [tuple(own.values.field(c).to_numpy() for c in ("start", "n"))] if own.is_valid and len(own) else []
+                if spans_.is_valid and len(spans_):
+                    found = factors(*(spans_.values.field(c).to_numpy() for c in ("start", "n", "source", "place")))
+                    parts.append((found[:, 0], found[:, 1]))
+                for a, m in parts:
+                    np.add.at(step, a, 1)
+                    np.add.at(step, a + m + window - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 left, hashed = digest(t.as_py(), gone)
                 removed.append(int(gone.sum()))
@@ -247,88 +245,31 @@ def split_windows(df: DataFrame) -> DataFrame:
     return df.select("d", "k", "start", "anchor", "windows").mapInArrow(run, "d long, k long, start int, anchor long, w long")
 
 
-def greedy(mine: np.ndarray, index: dict[int, list[tuple[int, int]]], blocks: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-    """Factors (first window, windows, block, first window there) of a block, against blocks listed in the index by their windows.
-
-    Each is the longest run that begins there and stands in one block, the first listed of equals.
-    """
-    out, i = [], 0
-    while i < len(mine):
-        best = (0, -1, -1)
-        for b, j in index.get(int(mine[i]), ()):
-            other, n = blocks[b], 1
-            while i + n < len(mine) and j + n < len(other) and mine[i + n] == other[j + n]:
-                n += 1
-            if n > best[0]:
-                best = (n, b, j)
-        if best[0]:
-            out.append((i, *best))
-        i += max(best[0], 1)
-    return out
-
-
-def parse_blocks(table: pa.Table) -> pa.RecordBatch:
-    """Factors (d, k, start, n, source) of whole anchors' blocks (d, k, start, anchor, windows), sorted by anchor and d."""
-    d, k, start, anchor = (table.column(c).to_numpy() for c in ("d", "k", "start", "anchor"))
-    blocks = [np.frombuffer(x.as_buffer(), "<i8") for x in table.column("windows").combine_chunks()] if len(d) else []
-    n = np.array([len(x) for x in blocks], np.int64)
-    row, flat = np.repeat(np.arange(len(d)), n), np.concatenate(blocks) if blocks else np.zeros(0, np.int64)
-    order = np.lexsort((d[row], flat, anchor[row]))
-    new = np.ones(len(order), bool)
-    new[1:] = (flat[order][1:] != flat[order][:-1]) | (anchor[row][order][1:] != anchor[row][order][:-1])
-    earliest = np.empty(len(order), np.int64)
-    earliest[order] = d[row][order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else []
-    parsed = np.unique(row[earliest < d[row]])  # only blocks with a window that stands earlier
-    out: list[tuple[int, int, int, int, int]] = []
-    group, index, done = None, {}, 0
-    for r in parsed:
-        if anchor[r] != group:
-            group, index, done = anchor[r], {}, int(np.searchsorted(anchor, anchor[r]))
-        while d[done] < d[r]:  # blocks of earlier documents
-            for j, w in enumerate(blocks[done].tolist()):
-                index.setdefault(w, []).append((done, j))
-            done += 1
-        out.extend((d[r], k[r], start[r] + i, m, d[b]) for i, m, b, _ in greedy(blocks[r], index, blocks))
-    columns = list(zip(*out, strict=True)) if out else [[]] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)).cast(t) for c, t in zip(columns, kinds, strict=True)], ["d", "k", "start", "n", "source"])
-
-
-def by_anchor(batches):
-    """parse_blocks over batches sorted by anchor; the last anchor of a batch waits for the next one."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        anchor = table.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1])) if len(anchor) else 0
-        rest = table.slice(cut)
-        if cut:
-            yield parse_blocks(table.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield parse_blocks(rest)
-
-
-def factors(parsed: DataFrame) -> DataFrame:
-    """(d, k, start, n, source): the factors of each document, as windows of it that stand in an earlier document; one of n windows is n + window - 1 words long."""
+def matches(parsed: DataFrame) -> DataFrame:
+    """(d, k, spans): for each document, the runs of windows (start, n) that the index knows from an earlier document (source, place)."""
     blocks = parsed.select("d", "k", F.inline("blocks"))
-    sources = kept(blocks.groupBy("anchor", "content").agg(F.min("d").alias("source")), "sources")
+    earliest = (F.min("d").alias("source"), F.min_by("start", "d").alias("place"))
+    sources = kept(blocks.groupBy("anchor", "content").agg(*earliest), "sources")
     contexts = kept(sources.groupBy("anchor").count().where("count > 1").select("anchor"), "contexts")
     placed = blocks.join(sources, ["anchor", "content"])
-    whole = placed.where("source < d").select("d", "k", "start", "n", "source")
-    edges = placed.where("source = d").select("d", "k", "start", "anchor", "windows").distinct()
-    edges = kept(edges.join(contexts, "anchor", "left_semi"), "reference")
-    sizes = kept(edges.groupBy("anchor").count(), "sizes")
-    small = edges.join(sizes.where(F.col("count") <= GROUP), "anchor", "left_semi")
-    runs = small.repartition("anchor").sortWithinPartitions("anchor", "d").mapInArrow(by_anchor, "d long, k long, start int, n int, source long")
-    large = edges.join(sizes.where(F.col("count") > GROUP), "anchor", "left_semi")
-    windows = kept(split_windows(large), "windows")
-    first = kept(windows.groupBy("anchor", "w").agg(F.min("d").alias("source")), "first")
-    single = windows.join(first, ["anchor", "w"]).where("source < d").select("d", "k", "start", F.lit(1).alias("n"), "source")
-    out = kept(whole.unionByName(runs).unionByName(single), "factors")
-    drop(sources, contexts, edges, sizes, windows, first)
-    return out
+    whole = placed.where("source < d").select("d", "k", "start", "n", "source", "place")
+    edges = placed.where("source = d").select("d", "k", "start", "anchor", "windows").join(contexts, "anchor", "left_semi")
+    windows = kept(split_windows(edges), "windows")
+    first = kept(windows.groupBy("anchor", "w").agg(*earliest), "first")
+    single = windows.join(first, ["anchor", "w"]).where("source < d").select("d", "k", "start", F.lit(1).alias("n"), "source", "place")
+    spans = kept(whole.unionByName(single).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n", "source", "place")).alias("spans")), "spans")
+    drop(sources, contexts, windows, first)
+    return spans
+
+
+def factors(start: np.ndarray, n: np.ndarray, source: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Rows (start, windows, source, place) of a document's factors, in text order: runs that go on at the same place of the same source are one."""
+    order = np.argsort(start, kind="stable")
+    start, n, source, place = (x[order].astype(np.int64) for x in (start, n, source, place))
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] != start[:-1] + n[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + n[:-1])
+    head = np.flatnonzero(new)
+    return np.stack([start[head], np.add.reduceat(n, head) if len(head) else n, source[head], place[head]], axis=1)
 
 
 def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -341,7 +282,7 @@ def substring_dedup(df: DataFrame, window: int = 20, with_text: bool = False, ca
     hits = found.join(shared, "anchor", "left_semi").groupBy("k").agg(F.collect_set("anchor").alias("hits"))
     parsed = kept(parse(shrunk(docs, keep).join(hits, "k", "left"), window, keep, with_text), "parsed")
     drop(found, shared)
-    spans = factors(parsed).groupBy("d", "k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = matches(parsed)
     open_ = parsed.where("sha IS NULL").select("doc_id", "d", "k", "n_words", "body", "own", *keep).join(spans, ["d", "k"], "left")
     out = untouched(parsed.where("sha IS NOT NULL"), keep).unionByName(finish(open_, window, keep, with_text))
     if not with_text:

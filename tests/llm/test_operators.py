@@ -329,51 +329,51 @@ def test_substring_by_brute_force(spark, sf):
     assert sorted(tuple(r) for r in got) == brute_substring(list(enumerate(texts)))
 
 
-@pytest.mark.parametrize("group", [256, 1])
-def test_greedy_factors_by_brute_force(spark, group, monkeypatch):
-    """The factors are a greedy parse against the blocks of earlier documents, each as long as any of them allows."""
-    monkeypatch.setattr(substring, "GROUP", group)
+def test_factors_by_brute_force(spark):
+    """The factors are a greedy parse against the index of earlier blocks and windows; each is as long as its place in the source allows."""
     rng, window = random.Random(7), 8
     base = [f"p{k}" for k in range(90)]
     texts = []
-    for _ in range(30):
+    for i in range(30):
         at, n = rng.randrange(60), rng.randrange(10, 50)
         w = base[at : at + n]
         for _ in range(rng.choice([0, 0, 1, 2])):
             w[rng.randrange(len(w))] = f"v{rng.randrange(1000)}"
-        texts.append(" ".join([*(f"q{rng.randrange(30)}" for _ in range(12)), *w, *(f"r{rng.randrange(30)}" for _ in range(12))]))
+        texts.append(" ".join([*(f"q{i}-{k}" for k in range(12)), *w, *(f"r{i}-{k}" for k in range(12))]))
     docs = frame(spark, texts).selectExpr("doc_id", "doc_id AS d", "doc_id AS k", "text")
     every = substring.anchors(docs, window).groupBy("k").agg(F.collect_set("anchor").alias("hits"))
     parsed = substring.parse(substring.shrunk(docs, []).join(every, "k"), window, [], False)
-    blocks = {r["d"]: sorted((b["start"], b["n"], b["anchor"]) for b in r["blocks"]) for r in parsed.collect()}
-    got = sorted((r["d"], r["start"], r["n"], r["source"]) for r in substring.factors(parsed).collect())
-    words, reference, want = [t.split() for t in texts], collections.defaultdict(list), []
-    window_at = lambda d, i: tuple(words[d][i : i + window])
+    blocks = {r["d"]: sorted((b["start"], b["n"]) for b in r["blocks"]) for r in parsed.collect()}
+    got = {}
+    for r in substring.matches(parsed).collect():
+        columns = (np.array([s[c] for s in r["spans"]]) for c in ("start", "n", "source", "place"))
+        got[r["d"]] = substring.factors(*columns).tolist()
+    words, whole, single, want = [t.split() for t in texts], {}, {}, {}
     for d in sorted(blocks):
-        for start, n, anchor in blocks[d]:
-            i = start
-            while i < start + n:
-                best = (0, None)
-                for src, a, m in reference[anchor]:
-                    for j in range(a, a + m):
-                        run = 0
-                        while i + run < start + n and j + run < a + m and window_at(d, i + run) == window_at(src, j + run):
-                            run += 1
-                        if run > best[0]:
-                            best = (run, src)
-                if best[0]:
-                    want.append((d, i, *best))
-                i += max(1, best[0])
-        for start, n, anchor in blocks[d]:
-            reference[anchor].append((d, start, n))
-    assert len(want) > 20
-    if group == 1:  # window by window where several blocks meet
-        spread = lambda rows: sorted((d, s + i) for d, s, n, _ in rows for i in range(n))
-        assert spread(got) == spread(want)
-    else:
-        assert [x[:3] for x in got] == [x[:3] for x in sorted(want)]
-        for d, start, n, src in got:
-            assert src < d and " ".join(words[d][start : start + n + window - 1]) in " ".join(words[src])
+        known = {}
+        for start, n in blocks[d]:
+            text = tuple(words[d][start : start + n + window - 1])
+            for i in range(n):
+                w = tuple(words[d][start + i : start + i + window])
+                known[start + i] = (whole[text][0], whole[text][1] + i) if text in whole else single.get(w)
+        for start, n in blocks[d]:
+            whole.setdefault(tuple(words[d][start : start + n + window - 1]), (d, start))
+            for i in range(n):
+                single.setdefault(tuple(words[d][start + i : start + i + window]), (d, start + i))
+        i = 0
+        while i < len(words[d]):
+            if known.get(i):
+                n = 1
+                while known.get(i + n) == (known[i][0], known[i][1] + n):
+                    n += 1
+                want.setdefault(d, []).append([i, n, *known[i]])
+                i += n
+            else:
+                i += 1
+    assert got == want and max(n for f in got.values() for _, n, _, _ in f) > window
+    for d, found in got.items():
+        for start, n, src, place in found:
+            assert src < d and words[d][start : start + n + window - 1] == words[src][place : place + n + window - 1]
 
 
 def test_substring_sql(spark, sf, duck, same):
