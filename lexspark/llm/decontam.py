@@ -1,7 +1,7 @@
 """Benchmark decontamination in DataFrame functions only.
 
 Every window of the benchmark's words is hashed into a small table which is broadcast
-if it is within ``max_broadcast`` rows; the documents' windows are hashed where they lie,
+if it is within ``max_broadcast`` rows and MOST_CHARS characters; the documents' windows are hashed where they lie,
 looked up, and hits are verified word by word. Where the benchmark's words are at most
 MOST_WORDS, windows whose first, middle or last word it never uses are passed over
 unhashed. A larger benchmark is looked up without that, and joins by shuffle, with the
@@ -52,6 +52,10 @@ def known_words(benchmark: DataFrame) -> Column | None:
     return F.expr(f"transform(words, w -> coalesce(w IN ({listed}), false))")
 
 
+#: Characters that a benchmark's windows may have, in all, to be broadcast.
+MOST_CHARS = 200_000_000
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_broadcast: int = 1_000_000) -> DataFrame:
     """One row a document and, besides, one for each verified occurrence of a window.
 
@@ -59,7 +63,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 8, max_broadcast:
     """
     grams = benchmark_windows(benchmark, window)
     lengths = sorted(r["len"] for r in grams.select("len").distinct().collect())  # at most ``window`` numbers
-    small = grams.limit(max_broadcast + 1).count() <= max_broadcast
+    size = grams.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("gram", " ")) + F.length(F.array_join("items", " "))).alias("chars")).first()
+    small = size["n"] <= max_broadcast and (size["chars"] or 0) <= MOST_CHARS
     base = spread(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("k"), words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
     known = known_words(benchmark)
     if known is not None:

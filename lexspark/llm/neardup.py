@@ -17,8 +17,9 @@ a member.
 Defined results: null and empty texts, and texts without words, have the empty set and
 are linked with nothing; a text of fewer words than a shingle is one shingle; rows of
 equal ``doc_id`` are one document, each returned; rows without ``doc_id`` are returned
-with ``component_id`` null and ``kept`` true; columns other than ``doc_id`` and ``text``
-are not read; an empty table gives an empty result.
+with ``component_id`` null and ``kept`` true; of ties the least ``doc_id`` names the group and
+stays; doc_id is an integer; texts of any length are hashed and compared whole; columns other
+than ``doc_id`` and ``text`` are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def superminhash(elements: np.ndarray, doc: np.ndarray, n_docs: int, slots: int)
     out = np.full(n_docs * slots, UNSET, np.uint64)
     perm = None
     for j in range(slots):
-        draw = mix(elements + np.uint64(j + 1) * GRAM)
+        draw = mix(elements + np.uint64((j + 1) * int(GRAM) % 2**64))
         k = j + ((draw & np.uint64(0xFFFF_FFFF)) % np.uint64(slots - j)).astype(np.int64)
         if perm is None:
             slot = k
@@ -150,7 +151,7 @@ def overlap_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndar
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(values) else np.zeros(0, bool)
     values, owner = values[shared], owner[shared]
     column = np.cumsum(np.concatenate([[True], values[1:] != values[:-1]])) - 1 if len(values) else values.astype(np.int64)
-    out = np.zeros((len(rows), len(columns)), np.float32)
+    out = np.zeros((len(rows), len(columns)))
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [start, start + 4096])
         m = np.zeros((len(every), 4096), np.float32)
@@ -170,7 +171,7 @@ def block_links(percent: int):
         left = np.flatnonzero(~held if held.any() else blocks == blocks.min())
         right = np.flatnonzero(held if held.any() else blocks == blocks.max())
         if len(left) and len(right):
-            both = overlap_counts([sets[i] for i in left], [sets[i] for i in right])
+            both = overlap_counts([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
             size = np.array([len(s) for s in sets])
             ok = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
             if held.any():

@@ -9,7 +9,9 @@ ranked within (length, salt) groups so that a hot length is no hot task.
 
 Defined results: a null or empty text is the single id 0; repeated rows are packed one
 by one; columns other than ``doc_id`` and ``text`` are not read; an empty table gives an
-empty result; a text longer than the capacity is cut, its first piece taking the rest.
+empty result; a text longer than the capacity is cut, its first piece taking the rest, and
+texts of any length are tokenised whole; pieces of one length are placed by a salted order of
+doc_id, equal rows in any order.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def slots(plan: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
 
 def pack(df: DataFrame, capacity: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """Pieces of df (doc_id, text) with ``sequence_id`` and ``offset``: as few sequences of ``capacity`` as found."""
-    salted = pieces(df, capacity, vocabulary).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salted = pieces(df, capacity, vocabulary).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32") + F.spark_partition_id(), F.lit(SALTS)).cast("int"))  # equal rows spread too
     table = kept(salted, "pieces")
     counts = np.zeros((capacity + 1, SALTS), np.int64)  # bounded by capacity and SALTS
     for r in table.groupBy("length", "salt").count().collect():

@@ -11,7 +11,8 @@ hash of doc_id); everything else covers all rows. Scores use the text only.
 Defined results: a null text counts as empty; empty texts get a score like any other;
 with no labelled rows every score is 0.5; labels that are null or whose document is
 absent are ignored; rows are scored one by one, so repeated rows give repeated results;
-other columns are not read; an empty table gives an empty result.
+other columns are not read; an empty table gives an empty result; texts of any length are
+measured whole; texts of equal statistics have equal scores.
 """
 
 from __future__ import annotations

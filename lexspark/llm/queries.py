@@ -70,4 +70,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring": oracles.SUBSTRING, "op10_decontamination": oracles.DECONTAMINATION}
+    return {"op5_substring": oracles.SUBSTRING, "op6_repetition": oracles.REPETITION, "op10_decontamination": oracles.DECONTAMINATION}

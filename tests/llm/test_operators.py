@@ -376,6 +376,10 @@ def test_factors_by_brute_force(spark):
             assert src < d and words[d][start : start + n + window - 1] == words[src][place : place + n + window - 1]
 
 
+def test_repetition_sql(spark, sf, duck, same):
+    same(queries.op6_repetition(spark, sf).toPandas(), duck.execute(oracles.REPETITION).df())
+
+
 def test_substring_sql(spark, sf, duck, same):
     same(queries.op5_substring(spark, sf).toPandas(), duck.execute(oracles.SUBSTRING).df())
 
@@ -677,5 +681,67 @@ def test_odd_pages(spark, sf):
     assert [f.count() for f in (urlfilter.filter_urls(pages), htmlmain.extract(pages), langid.page_languages(pages, labelled))] == [4, 4, 4]
 
 
+MILLION = 1 << 20
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """Two equal texts beyond a slice, one of one word over and over, one of a single word, and a short one."""
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    body = " ".join(words) + "\n\nReleased under the MIT License.\nalpha beta gamma delta epsilon zeta eta theta iota"
+    assert len(body) > MILLION
+    return [body, body, "again " * 300_000, "x" * (2 * MILLION), "alpha beta gamma delta epsilon zeta eta theta"]
+
+
+@pytest.mark.parametrize("name", PER_DOCUMENT)
+def test_texts_beyond_a_slice(name, spark, long_texts):
+    got = PER_DOCUMENT[name](spark, frame(spark, long_texts)) if name != "op10" else decontam.decontaminate(frame(spark, long_texts), spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "zeta eta theta iota")], "item_id long, text string"))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert sorted(rows) == [0, 1, 2, 3, 4]
+    if name == "op1":
+        assert rows[0]["score"] == rows[1]["score"] and all(0 <= r["score"] <= 1 for r in rows.values())
+    elif name == "op3":
+        assert [rows[i]["component_id"] for i in range(5)] == [0, 0, 2, 3, 4]
+    elif name == "op4":
+        assert [rows[i]["families"] for i in range(5)] == [["mit"], ["mit"], [], [], []]
+    elif name == "op5":
+        assert [(rows[i]["n_words"], rows[i]["n_removed"]) for i in range(5)] == [(200_014, 0), (200_014, 200_014), (300_000, 299_999), (1, 0), (8, 0)]
+    elif name == "op6":
+        assert rows[2]["n_repeat_words"] == 300_000 and rows[3]["word_chars"] == 2 * MILLION
+    elif name == "op10":
+        assert [(rows[i]["n_hit"], rows[i]["n_items"]) for i in range(5)] == [(9, 2), (9, 2), (0, 0), (0, 0), (8, 1)]
+
+
+def test_ties(spark):
+    """Equal texts under many ids: every operator treats them alike, and by doc_id where one must be chosen."""
+    texts = ["one two three four five six seven eight nine ten " * 4] * 6
+    df = frame(spark, texts)
+    assert {r["component_id"] for r in neardup.near_duplicates(df, 3, 85).collect()} == {0}
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring.substring_dedup(df).collect()) == [(0, 30), *((i, 40) for i in range(1, 6))]
+    assert len({(r["score"]) for r in quality.score_quality(df, spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")).collect()}) == 1
+    assert len({(r["n_notices"]) for r in licenses.scan_licences(df).collect()}) == 1
+    assert len({(r["n_words"], r["kept"]) for r in repetition.repetition_rules(df).collect()}) == 1
+    assert {(r["n_hit"]) for r in PER_DOCUMENT["op10"](spark, df).collect()} == {12}
+    packed = packing.pack(df).toPandas()
+    assert packed.sequence_id.nunique() == 1 and sorted(packed.offset) == [i * packed.length[0] for i in range(6)]
+    pages = spark.createDataFrame([(i, "http://h.test/a", "<html lang=en><article><p>The end of the story.</p></article></html>") for i in range(4)], "page_id long, url string, html string")
+    for out in (urlfilter.filter_urls(pages), htmlmain.extract(pages), langid.page_languages(pages, spark.createDataFrame([("the of and", "en"), ("the of and", "aa")], "text string, lang string"))):
+        assert len({tuple(v for k, v in r.asDict().items() if k != "page_id") for r in out.collect()}) == 1
+
+
+def test_long_and_clashing_pages(spark):
+    """Pages beyond a slice, and columns named like those the operators make."""
+    clash = {k: "z" for k in ("host", "path", "suffix", "declared", "lang", "text", "own", "rank", "likelihood", "r", "verdict", "n_chars")}
+    body = "<p>The river rose over the old bridge, and nobody knew why. " * 40_000
+    pages = [(1, "http://a.test/", f"<html lang=en><nav><a href='http://b.test/'>b</a></nav><article>{body}</article>"), (1, "http://a.test/", None), (2, "http://b.test/", "x" * (2 * MILLION)), (3, None, "")]
+    df = spark.createDataFrame([(*p, *clash.values()) for p in pages], "page_id long, url string, html string, " + ", ".join(f"{k} string" for k in clash))
+    labelled = spark.createDataFrame([(i, "the river and the bridge of the town", "en", "z") for i in range(9)], "doc_id long, text string, lang string, host string")
+    out = [f.collect() for f in (urlfilter.filter_urls(df), htmlmain.extract(df), langid.page_languages(df, labelled))]
+    assert [len(o) for o in out] == [4, 4, 4]
+    assert max(r["n_chars"] for r in out[1]) > 2_000_000
+    assert {r["lang"] for r in out[2] if r["declared"] == "en"} == {"en"}
+
+
 def test_sql_keys():
     assert set(queries.oracle_sql()) <= set(queries.queries())

@@ -52,6 +52,18 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
 
 
+def test_clashing_columns_pass(spark, sf):
+    """Extra columns named like those that stages make keep their values through all stages but the last."""
+    names = ["k", "d", "hits", "body", "accepted", "host", "component_id", "kept", "kept_text", "n_removed", "contaminated", "item"]
+    text = "the and of to be or not " * 8
+    docs = spark.createDataFrame([(i, text + f"unlike{i} " * 9, "en", "s", 9, *(f"{n}{i}" for n in names)) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
+        assert docs.columns == [*COLUMNS, *names], name
+        assert docs.count() and all(r[n] == f"{n}{r['doc_id']}" for r in docs.collect() for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
 def test_odd_documents(spark, sf):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the and of to be or not " * 5, "en", "s", 9), (4, "the and of to be or not " * 5, "en", None, 9), (4, "the and of to be or not " * 5, "en", None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
