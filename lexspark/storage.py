@@ -46,17 +46,20 @@ def _delete(files, place) -> None:
 
 #: Has Spark delete the shuffle files of a query when it ends; nothing reads a written plan's shuffles again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows go to Python in batches of at most so many bytes (a longer row alone): several copies of a batch are in memory at once.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and a lost executor costs no recomputation.
 
-    The write runs under a clone of the session, so its setting touches no other query.
+    The write runs under a clone of the session, so its settings touch no other query.
     """
     spark = df.sparkSession
     path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     own = spark._jsparkSession.cloneSession()
     own.conf().set(CLEANUP, "true")
+    own.conf().set(BATCH, BATCH_BYTES)
     spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own, df._jdf.logicalPlan()).write().option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.lexspark_path = path
