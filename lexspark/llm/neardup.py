@@ -7,12 +7,13 @@ a slot. Bands of the signature propose candidates; full shingle sets decide; uni
 groups.
 
 Scale. Texts with equal sets collapse first (a partial aggregation, so a third of all
-rows may be copies). Buckets are joined to their least member, never paired inside.
-Clusters of buckets are verified in two steps: every member against the cluster's
-centre, then only members that are not linked to it, in blocks of a bounded number of
-shingles against the cluster's other blocks. Linked members are not compared with each
-other: they are connected already. A task holds two blocks and returns at most one edge
-a member.
+rows may be copies). Buckets are joined to their least member, never paired inside: a set is
+compared with the centres of its buckets, at most one a band, and the links found are grouped.
+A star is what shares a bucket of one centre. A link that no centre shows joins two groups within
+a star; only there, members go on to blocks of a bounded number of shingles. Pairs whose
+distances to the centre differ by more than a link's are never met (the triangle inequality), nor are
+those connected with the centre on both sides. What is left grows with the square of the
+members of one star that stand equally far from its centre and belong to different groups.
 
 Defined results: null and empty texts, and texts without words, have the empty set and
 are linked with nothing; a text of fewer words than a shingle is one shingle; rows of
@@ -124,20 +125,26 @@ def sets_of(df: DataFrame, size: int, keep: list[str]) -> DataFrame:
     return map_texts(df.select(*keep, "text"), one, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", shingles binary")
 
 
-def linked_to_centre(df: DataFrame, percent: int) -> DataFrame:
-    """(cluster, rep, n, linked) of rows with their set and their centre's."""
+def star_links(df: DataFrame, percent: int) -> DataFrame:
+    """(centre, rep, n, linked, ring) of rows with their set and their centre's.
+
+    The ring counts the distance to the centre in steps of the largest distance of a link. Jaccard
+    distance is a metric, so two sets whose rings differ by more than one are not linked.
+    """
+    step = max(100 - percent, 1)
 
     def run(batches):
         for part in batches:
-            ok = []
-            for a, b in zip(part.column("shingles"), part.column("centre"), strict=True):
+            linked, ring = [], []
+            for a, b in zip(part.column("shingles"), part.column("other"), strict=True):
                 x, y = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                near = 100 * min(len(x), len(y)) >= percent * max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
-                ok.append(bool(near and 100 * both >= percent * (len(x) + len(y) - both)))
-            yield pa.RecordBatch.from_arrays([part.column("cluster"), part.column("rep"), part.column("n"), pa.array(ok, pa.bool_())], ["cluster", "rep", "n", "linked"])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                either = len(x) + len(y) - both
+                linked.append(100 * both >= percent * either)
+                ring.append(100 * (either - both) // (step * either))
+            yield pa.RecordBatch.from_arrays([part.column("centre"), part.column("rep"), part.column("n"), pa.array(linked, pa.bool_()), pa.array(ring, pa.int32())], ["centre", "rep", "n", "linked", "ring"])
 
-    return df.select("cluster", "rep", "n", "shingles", "centre").mapInArrow(run, "cluster long, rep long, n long, linked boolean")
+    return df.select("centre", "rep", "n", "shingles", "other").mapInArrow(run, "centre long, rep long, n long, linked boolean, ring int")
 
 
 def overlap_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -161,72 +168,99 @@ def overlap_counts(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndar
 
 
 def block_links(percent: int):
-    """Edges of one pair of blocks: spanning links among members that no centre holds, and their links to those it holds."""
+    """Edges of one pair of blocks: links that connect groups not yet connected, as few as do."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep, cluster, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "cluster", "linked"))
-        blocks = table.column("own").to_numpy()
+        rep, group, own, low, high = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "own", "low", "high"))
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
         edges: list[tuple[int, int]] = []
-        left = np.flatnonzero(~held if held.any() else blocks == blocks.min())
-        right = np.flatnonzero(held if held.any() else blocks == blocks.max())
-        if len(left) and len(right):
+        if len(left) and len(np.unique(group)) > 1:
             both = overlap_counts([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
             size = np.array([len(s) for s in sets])
             ok = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-            if held.any():
-                edges = [(int(rep[i]), int(cluster[i])) for i in left[ok.any(axis=1)]]
-            else:
-                root = {int(i): int(i) for i in {*left, *right}}
-
-                def find(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
-                for i, j in np.argwhere(ok):
-                    a, b = find(int(left[i])), find(int(right[j]))
-                    if a != b:
-                        root[a] = b
-                        edges.append((int(rep[left[i]]), int(rep[right[j]])))
+            ok &= group[left][:, None] != group[right][None, :]
+            root = {int(g): int(g) for g in group}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in np.argwhere(ok):
+                a, b = find(int(group[left[i]])), find(int(group[right[j]]))
+                if a != b:
+                    root[a] = b
+                    edges.append((int(group[left[i]]), int(group[right[j]])))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(rep, cluster) of the sets that share a band with another, connected through shared buckets."""
+def candidates(classes: DataFrame) -> DataFrame:
+    """(rep, centre) of the sets that share a bucket with a lesser one: the least of each of their buckets."""
     entries = classes.select("rep", F.posexplode("bands").alias("band", "value"))
     buckets = kept(entries.groupBy("band", "value").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n"), "buckets")
-    edges = entries.join(buckets, ["band", "value"]).where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    clusters = kept(components(edges).withColumnsRenamed({"node": "rep", "component": "cluster"}), "clusters")
+    found = kept(entries.join(buckets, ["band", "value"]).where("rep <> centre").select("rep", "centre").distinct(), "candidates")
     drop(buckets)
-    return clusters
+    return found
+
 
+def unconnected(star: DataFrame, first: DataFrame) -> DataFrame:
+    """Members of stars that hold groups the centre isn't connected with: (centre, rep, n, ring, component, loose)."""
+    group = first.withColumnsRenamed({"node": "rep", "component": "own_group"})
+    middle = first.withColumnsRenamed({"node": "centre", "component": "centre_group"})
+    rows = star.join(group, "rep", "left").join(middle, "centre", "left").withColumn("component", F.coalesce("own_group", "rep"))
+    rows = rows.withColumn("loose", F.col("component") != F.coalesce("centre_group", "centre"))
+    return rows.select("centre", "rep", "n", "ring", "component", "loose")
 
-def links(df: DataFrame, clusters: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links: (rep, held) with the centre of its cluster if linked to it, and further edges (a, b)."""
+
+def residual_links(sets: DataFrame, star: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups that share a star and that no centre connects.
+
+    Members of a star meet in blocks, those of rings next to each other only, and a pair of which
+    both are connected with the centre never.
+    """
+    rows = kept(unconnected(star, first).distinct(), "unconnected")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("long")
+    sizes = rows.groupBy("centre", "ring", "loose").agg(blocks.alias("blocks"), F.count("*").alias("members"))
+    sizes = sizes.groupBy("centre").agg(F.collect_list(F.struct("ring", "loose", "blocks")).alias("rings"), F.max("loose").alias("some"), F.sum("members").alias("members"))
+    sizes = kept(sizes.where("some AND members > 1").select("centre", "rings"), "rings")
+
+    def code(loose, ring, block):
+        """A block as one number; those of loose members come first."""
+        return F.when(loose, 0).otherwise(1) * F.lit(2**48) + ring * F.lit(2**32) + block
+
+    mine = F.element_at(F.filter("rings", lambda r: (r["ring"] == F.col("ring")) & (r["loose"] == F.col("loose"))), 1)["blocks"]
+    near = F.filter("rings", lambda r: (F.abs(r["ring"] - F.col("ring")) <= 1) & (r["loose"] | F.col("loose")))
+    others = F.flatten(F.transform(near, lambda r: F.transform(F.sequence(F.lit(0).cast("long"), r["blocks"] - 1), lambda i: code(r["loose"], r["ring"], i))))
+    met = rows.join(sizes, "centre").withColumn("own", code(F.col("loose"), F.col("ring"), F.pmod(F.xxhash64("rep"), mine)))
+    met = met.select("centre", "rep", "component", "own", F.explode(others).alias("other"))
+    met = met.select("centre", "rep", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    unit = ["centre", "low", "high"]
+    # a pair of blocks that holds one group only has nothing to compare
+    worth = kept(met.groupBy(*unit).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(*unit), "pairs")
+    met = kept(met.join(worth, unit), "met")
+    edges = kept(sets.select("rep", "shingles").join(met, "rep").groupBy(*unit).applyInArrow(block_links(percent), "a long, b long"), "links")
+    drop(rows, sizes, worth, met)
+    return edges
+
+
+def groups(df: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables (node, component): from sets to the groups that centres connect, and from those to whole groups."""
+    found = candidates(classes)
     texts = df.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    sets = sets_of(texts.join(clusters, "rep"), size, ["cluster", "rep"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
+    ends = found.withColumn("middle", F.lit(False)).unionByName(found.select(F.col("centre").alias("rep"), F.lit(None).cast("long").alias("centre"), F.lit(True).alias("middle")).distinct())
+    wanted = kept(ends.groupBy("rep").agg(F.collect_set("centre").alias("centres"), F.max("middle").alias("middle")), "wanted")
+    sets = sets_of(texts.join(wanted, "rep"), size, ["rep", "centres", "middle"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long"))
     sets = kept(sets.where("n > 0"), "sets")
-    centres = sets.where("rep = cluster").select("cluster", F.col("shingles").alias("centre"))
-    members = kept(linked_to_centre(sets.join(centres, "cluster"), percent), "members")
-    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("members") / BLOCK_MEMBERS)).cast("int")
-    sizes = members.groupBy("cluster", "linked").agg(F.sum("n").alias("total"), F.count("*").alias("members")).withColumn("blocks", blocks)
-    sizes = sizes.groupBy("cluster").agg(F.max(F.when(F.col("linked"), F.col("blocks"))).alias("held"), F.max(F.when(~F.col("linked"), F.col("blocks"))).alias("loose"))
-    sizes = kept(sizes.where("loose > 0"), "sizes")
-    rows = sets.join(sizes, "cluster").join(members.select("rep", "linked").distinct(), "rep")
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("linked"), F.col("held")).otherwise(F.col("loose"))).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("loose") - 1), lambda x: F.struct(F.lit(True).alias("among"), F.least("own", x).alias("i"), F.greatest("own", x).alias("j")))
-    across = F.transform(F.sequence(F.lit(0), F.col("held") - 1), lambda x: F.struct(F.lit(False).alias("among"), F.col("own").alias("i"), x.alias("j")))
-    towards = F.transform(F.sequence(F.lit(0), F.col("loose") - 1), lambda x: F.struct(F.lit(False).alias("among"), x.alias("i"), F.col("own").alias("j")))
-    pairs = F.when(F.col("linked"), towards).otherwise(F.concat(others, across))
-    rows = rows.withColumn("own", own).withColumn("pair", F.explode(pairs))
-    edges = rows.select("cluster", "pair", "own", "rep", "linked", "shingles").groupBy("cluster", "pair").applyInArrow(block_links(percent), "a long, b long")
-    edges = kept(edges, "links")
-    held = kept(members.where("linked").select("rep", F.col("cluster").alias("held")).distinct(), "held")
-    drop(sets, members, sizes)
-    return held, edges
+    centres = sets.where("middle").select(F.col("rep").alias("centre"), F.col("shingles").alias("other"))
+    star = kept(star_links(sets.withColumn("centre", F.explode("centres")).join(centres, "centre"), percent), "stars")
+    first = kept(components(star.where("linked").select(F.col("rep").alias("a"), F.col("centre").alias("b"))), "groups")
+    edges = residual_links(sets, star, first, percent)
+    second = kept(components(edges), "merged")
+    drop(found, wanted, sets, star, edges)
+    return first, second
 
 
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -239,13 +273,10 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     table = kept(signatures(df, size), "signatures")
     sets = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = kept(sets.groupBy("f1", "f2").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), F.first("bands").alias("bands")), "classes")
-    clusters = candidate_clusters(classes)
-    held, edges = links(df, clusters, size, percent)
-    merged = components(edges)
-    named = classes.select("f1", "f2", "rep").join(held, "rep", "left").withColumn("node", F.coalesce("held", "rep"))
-    named = named.join(merged, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    named = kept(named, "named")
-    drop(classes, clusters, held, edges)
+    first, second = groups(df, classes, size, percent)
+    named = classes.select("f1", "f2", F.col("rep").alias("node")).join(first, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("node"))
+    named = kept(named.join(second, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("component_id")), "named")
+    drop(classes, first, second)
     out = table.drop("bands").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id").cast("long"))
     component = F.when(F.col("doc_id").isNotNull(), component)
