@@ -12,6 +12,7 @@ import pytest
 from lexspark.llm import decontam, htmlmain, langid, licenses, neardup, oracles, packing, quality, queries, repetition, substring, urlfilter
 from lexspark.llm.graph import components
 from lexspark.llm.words import DocBatch
+from lexspark.storage import kept
 from pyspark.sql import functions as F
 
 SPACES = "[^\x20\x09-\x0d]+"
@@ -210,6 +211,15 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(dict(enumerate(texts)), 3, 85).items()}
 
 
+def test_links_no_centre_shows(spark, monkeypatch):
+    """All sets in one star: links between groups its centre isn't connected with come from the rings alone."""
+    texts = near_copies(8, 60)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 9)
+    monkeypatch.setattr(neardup, "candidates", lambda classes: kept(classes.where("rep > 0").select("rep", F.lit(0).cast("long").alias("centre")), "candidates"))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, texts), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(dict(enumerate(texts)), 3, 85).items()}
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
